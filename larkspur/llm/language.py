@@ -26,6 +26,8 @@ LANGUAGES = ("de", "en", "es", "fr", "ja", "pt")
 BUCKET_BITS = 15
 CHUNK = 1 << 19
 SCALE = 4.0
+PARTS = 3
+LETTERS = np.array([x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32 for x in range(256)], np.uint8)
 
 
 def codewords(n: int) -> np.ndarray:
@@ -38,10 +40,11 @@ def codewords(n: int) -> np.ndarray:
 
 
 def grams(raw: np.ndarray) -> np.ndarray:
-    """Bucket of the 4 bytes from each position on; capitals as small letters, digits alike."""
-    b = np.concatenate((raw, np.full(3, 32, np.uint8))).astype(np.uint32)
-    b = np.where((b >= 65) & (b <= 90), b + 32, b)
-    b = np.where((b >= 48) & (b <= 57), 48, b)
+    """Bucket of the 4 bytes from each position on; capitals as small letters, ASCII and Latin-1 signs and digits as spaces."""
+    b = LETTERS[np.concatenate((raw, np.full(3, 32, np.uint8)))]
+    sign = np.flatnonzero(raw == 0xC2)
+    b[sign] = b[sign + 1] = 32
+    b = b.astype(np.uint32)
     w = b[:-3] | (b[1:-2] << 8) | (b[2:-1] << 16) | (b[3:] << 24)
     return (w * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
 
@@ -77,9 +80,13 @@ class Model:
     def margins(self, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return sums(self.table, ids, start, end)[:, : self.code.shape[1]] / np.maximum(end - start, 1)[:, None]
 
+    def losses(self, margins: np.ndarray) -> np.ndarray:
+        """Weighted logistic loss of each text against each codeword."""
+        return np.stack([(self.bit_weight * np.logaddexp(0, -SCALE * c * margins)).sum(1) for c in self.code], 1)
+
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language (its number), confidence and whether it is ambiguous."""
-        loss = np.stack([(self.bit_weight * np.logaddexp(0, -SCALE * c * margins)).sum(1) for c in self.code], 1)
+        loss = self.losses(margins)
         p = np.exp(-(loss - loss.min(1, keepdims=True)))
         p /= p.sum(1, keepdims=True)
         best = loss.argmin(1)
@@ -141,7 +148,7 @@ def detect(docs: DataFrame, ident: str, text: str, label: Column, model: Model,
     """One row per document (``line_no`` 0) and per counting line in another language than the document's.
 
     Columns: ``id, line_no, lang, confidence, ambiguous, given``; ``given`` is ``label``. A line counts from ``min_chars`` characters,
-    trimmed; the document's language has the most characters in such lines (of equal ones the first by name) and its
+    trimmed, and where each third of it alone is nearer to its language than to the document's; the document's language has the most characters in such lines (of equal ones the first by name) and its
     confidence is its share of them. Documents without a counting line, or with a null text, are left out.
     """
     names = np.array(model.languages)
@@ -156,15 +163,24 @@ def detect(docs: DataFrame, ident: str, text: str, label: Column, model: Model,
             if not len(ok):
                 continue
             row, number, chars = ln.row[ok], ln.number[ok], ln.chars[ok]
-            lang, conf, odd = model.decode(model.margins(grams(raw), ln.start[ok], ln.end[ok]))
+            start, end = ln.start[ok], ln.end[ok]
+            edges = [start + (end - start) * i // PARTS for i in range(PARTS + 1)]
+            parts = sums(model.table, grams(raw), np.stack(edges[:-1], 1).ravel(), np.stack(edges[1:], 1).ravel())[:, : model.code.shape[1]]
+            parts = parts.reshape(len(ok), PARTS, -1)
+            lang, conf, odd = model.decode(parts.sum(1) / np.maximum(end - start, 1)[:, None])
             per = np.zeros((b.num_rows, len(names)))
             np.add.at(per, (row, lang), chars)
             whole = per.sum(1)
             best = per.argmax(1)
             docs_at = np.flatnonzero(whole > 0)
+            # a line leaves its document's language only if each part of it says so: loan words fill a part of a line
             other = np.flatnonzero(lang != best[row])
-            top2 = np.sort(per[docs_at], 1)[:, -2:]
+            for i in range(PARTS):
+                loss = model.losses(parts[other, i] / np.maximum(edges[i + 1][other] - edges[i][other], 1)[:, None])
+                at = np.arange(len(other))
+                other = other[loss[at, lang[other]] < loss[at, best[row[other]]]]
             at = np.concatenate((docs_at, row[other]))
+            top2 = np.sort(per[docs_at], 1)[:, -2:]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("id").take(pa.array(at)),
