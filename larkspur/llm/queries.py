@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.urls import host_key, normalize_url
-from larkspur.llm import capping, language, score_fusion, seen_keys, site_lines
+from larkspur.llm import capping, language, score_fusion, seen_keys, site_lines, truncation
 from larkspur.session import table
 
 SCORES = {"bm25": 0, "page_rank": 6, "freshness": 8, "click_through_rate": 10}
@@ -123,9 +123,19 @@ def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.frequent_sequences(found, 6, 4)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return truncation.truncated(table(spark, sf_dir, "documents"), "doc_id", "source", "text").select(F.col("doc").alias("doc_id"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts its texts off."""
+    return truncation.truncation_rates(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_ranking, p3_found, p3_hosts, p4_found, p4_error_rate, p5_found, p5_languages, p7_found, p7_sequences)
+    for f in (p2_found, p2_ranking, p3_found, p3_hosts, p4_found, p4_error_rate, p5_found, p5_languages, p7_found, p7_sequences, p10_found, p10_rates)
 }
 
 _HOST = r"regexp_replace(regexp_replace(lower(trim(host)), ':(80|443)$', ''), '\.$', '')"
