@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.urls import host_key, normalize_url
-from larkspur.llm import capping, language, score_fusion, seen_keys, site_lines, truncation
+from larkspur.llm import boilerplate, capping, language, score_fusion, seen_keys, site_lines, truncation
 from larkspur.session import table
 
 SCORES = {"bm25": 0, "page_rank": 6, "freshness": 8, "click_through_rate": 10}
@@ -105,6 +105,12 @@ def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("id", "line_no").agg(F.first("lang").alias("lang"), F.round(F.first("confidence"), 6).alias("confidence"), F.first("ambiguous").alias("ambiguous"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-blank lines of pages that are not part of the article."""
+    pages = table(spark, sf_dir, "pages").select("id", "host", "title", "headings", "content")
+    return boilerplate.boilerplate_lines(pages, "id", host_key(F.col("host")), "title", "headings", "content")
+
+
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("id", "host", "content")
     return site_lines.line_sequences(pages, "id", host_key(F.col("host")), "content")
@@ -135,7 +141,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_ranking, p3_found, p3_hosts, p4_found, p4_error_rate, p5_found, p5_languages, p7_found, p7_sequences, p10_found, p10_rates)
+    for f in (p2_found, p2_ranking, p3_found, p3_hosts, p4_found, p4_error_rate, p5_found, p5_languages, p6_found, p7_found, p7_sequences, p10_found, p10_rates)
 }
 
 _HOST = r"regexp_replace(regexp_replace(lower(trim(host)), ':(80|443)$', ''), '\.$', '')"
