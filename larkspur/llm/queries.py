@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.urls import host_key, normalize_url
-from larkspur.llm import boilerplate, capping, language, score_fusion, seen_keys, site_lines, truncation
+from larkspur.llm import boilerplate, capping, language, mixing, packing, score_fusion, seen_keys, site_lines, tokens, truncation
 from larkspur.session import table
 
 SCORES = {"bm25": 0, "page_rank": 6, "freshness": 8, "click_through_rate": 10}
@@ -129,6 +129,44 @@ def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.frequent_sequences(found, 6, 4)
 
 
+def _windows(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    return {r.window_name: r.capacity_tokens for r in table(spark, sf_dir, "context_windows").collect()}  # 3 rows
+
+
+def _packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = packing.sized(tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return packing.pack(sizes, _windows(spark, sf_dir))
+
+
+def p8_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which container each document, or piece of a document larger than the window, is in."""
+    return _packs(spark, sf_dir).withColumnRenamed("doc", "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each window are."""
+    return packing.fill_rates(_packs(spark, sf_dir), _windows(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[mixing.Goal]]:
+    source = F.lower(F.trim("source"))
+    goals = [mixing.Goal(r.s, r.target_share, r.max_repeats) for r in table(spark, sf_dir, "source_targets").withColumn("s", source).collect()]  # 12 rows
+    wanted = table(spark, sf_dir, "documents").where(source.isin([g.source for g in goals]))
+    sizes = packing.sized(tokens.token_counts(wanted, "doc_id", "text", {"source": source}))
+    # fuller documents are drawn somewhat more often than stubs
+    return mixing.mix(sizes.withColumn("weight", F.log1p("tokens")), goals), goals
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn, with their number of copies."""
+    return _mixed(spark, sf_dir)[0].withColumnRenamed("doc", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each source that was reached."""
+    return mixing.shares(*_mixed(spark, sf_dir))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text was cut off."""
     return truncation.truncated(table(spark, sf_dir, "documents"), "doc_id", "source", "text").select(F.col("doc").alias("doc_id"))
@@ -141,7 +179,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_ranking, p3_found, p3_hosts, p4_found, p4_error_rate, p5_found, p5_languages, p6_found, p7_found, p7_sequences, p10_found, p10_rates)
+    for f in (p2_found, p2_ranking, p3_found, p3_hosts, p4_found, p4_error_rate, p5_found, p5_languages, p6_found, p7_found, p7_sequences, p8_packs, p8_fill, p9_mix, p9_shares, p10_found, p10_rates)
 }
 
 _HOST = r"regexp_replace(regexp_replace(lower(trim(host)), ':(80|443)$', ''), '\.$', '')"
