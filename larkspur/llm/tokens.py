@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-
 from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -24,6 +23,7 @@ def token_counts(docs: DataFrame, ident: str, text: str, carry: dict[str, Column
     with open(tokenizer, "rb") as f:
         vocabulary = f.read()
     carry = carry or {}
+    names = list(carry)
     rows = docs.select(F.col(ident).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"), *[c.alias(n) for n, c in carry.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,7 +33,7 @@ def token_counts(docs: DataFrame, ident: str, text: str, carry: dict[str, Column
         encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             n = [len(encoding.encode_ordinary(t)) for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), *[b.column(c) for c in carry]], names=["doc", "tokens", *carry])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), *[b.column(c) for c in names]], names=["doc", "tokens", *names])
 
     kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema if x.name != "_text" and x.name != "doc")
     return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, tokens long" + (f", {kinds}" if kinds else ""))
