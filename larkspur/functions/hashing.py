@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -41,18 +43,16 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _over(series: pd.Series, f, empty) -> pd.Series:  # noqa: ANN001
-    known = series.notna()
-    out = pd.Series([None] * len(series), dtype=object)
-    if known.any():
-        out[known.to_numpy()] = f(list(series[known]))
-    return out
+def _over(series: pd.Series, f: Callable[[list[str]], list]) -> list:
+    """``f`` of the texts that are not null, nulls in their places."""
+    got = iter(f([x for x in series if x is not None]))
+    return [None if x is None else next(got) for x in series]
 
 
 @F.pandas_udf(T.LongType())
 def url_hash(url: pd.Series) -> pd.Series:
     """Mixed FNV-1a of the text as a signed 64-bit number; null for null."""
-    return _over(url, lambda x: list(mix(fnv1a64(x)).view(np.int64)), None).astype("Int64")
+    return pd.Series(_over(url, lambda x: mix(fnv1a64(x)).view(np.int64).tolist()), dtype="Int64")
 
 
 def bucket(hash_: Column) -> Column:
@@ -77,7 +77,7 @@ def bloom_positions(bits: int = 1 << 30, hashes: int = 7):  # noqa: ANN201
                 p = (h1[:, None] + np.arange(hashes, dtype=np.uint64)[None, :] * h2[:, None]) % np.uint64(bits)
             return [list(map(int, r)) for r in p]
 
-        return _over(key, many, None)
+        return pd.Series(_over(key, many))
 
     return positions
 

@@ -86,7 +86,7 @@ def tokenize(text: Column) -> Column:
 
 
 def shingles(tokens: Column, size: int = 3) -> Column:
-    """Runs of ``size`` tokens joined by spaces; all tokens as one if there are fewer; none if there are none."""
+    """Runs of ``size`` tokens (a column of an earlier step) joined by spaces; all tokens as one if there are fewer; none if there are none."""
     n = F.size(tokens)
     many = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, size), " "))
     return F.when(n > 0, many).otherwise(F.array().cast("array<string>"))

@@ -131,6 +131,6 @@ def looks_like_trap(url: Column) -> Column:
 
 
 def url_text(url: Column) -> Column:
-    """Host and decoded path as words: slashes, hyphens, underscores and dots in the path become spaces."""
-    path = F.translate(F.coalesce(F.try_url_decode(F.replace(url_path(url), F.lit("+"), F.lit("%2B"))), url_path(url)), "/-_.", "    ")
-    return F.concat(F.coalesce(url_host(url), F.lit("")), F.lit(" "), path)
+    """Host and decoded path as words: slashes, hyphens, underscores and dots become spaces."""
+    path = F.coalesce(F.try_url_decode(F.replace(url_path(url), F.lit("+"), F.lit("%2B"))), url_path(url))
+    return F.translate(F.concat(F.coalesce(url_host(url), F.lit("")), path), "/-_.", "    ")

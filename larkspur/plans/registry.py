@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.plans import incremental_queries
+from larkspur.plans import incremental_queries, text_queries
 
-MODULES = [incremental_queries]
+MODULES = [incremental_queries, text_queries]
 FLAGSHIP = "p1_found"
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
