@@ -83,12 +83,13 @@ def bloom_positions(bits: int = 1 << 30, hashes: int = 7):  # noqa: ANN201
 
 
 @F.pandas_udf(T.LongType())
-def simhash_of(shingles: pd.Series) -> pd.Series:
-    """SimHash of an array of shingles: bit by bit the majority of their mixed hashes; 0 for none."""
-    out = np.zeros(len(shingles), np.uint64)
-    for i, s in enumerate(shingles):
-        if s is not None and len(s):
-            h = mix(fnv1a64(list(s)))
+def simhash_of(tokens: pd.Series) -> pd.Series:
+    """SimHash of an array of tokens: bit by bit the majority of the mixed hashes of its runs of three tokens (of all, if fewer); 0 for none."""
+    out = np.zeros(len(tokens), np.uint64)
+    for i, t in enumerate(tokens):
+        if t is not None and len(t):
+            size = min(3, len(t))
+            h = mix(fnv1a64([" ".join(t[k : k + size]) for k in range(len(t) - size + 1)]))
             bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
             out[i] = np.packbits(2 * bits > len(h), bitorder="little").view(np.uint64)[0]
     return pd.Series(out.view(np.int64))

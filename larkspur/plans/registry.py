@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from larkspur.plans import incremental_queries, text_queries
+from larkspur.plans import incremental_queries, search_queries, text_queries
 
-MODULES = [incremental_queries, text_queries]
-FLAGSHIP = "p1_found"
+MODULES = [incremental_queries, text_queries, search_queries]
+FLAGSHIP = "bm25f_search"
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

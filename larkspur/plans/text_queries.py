@@ -82,7 +82,7 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of each document with its bands."""
     rows = table(spark, sf_dir, "documents").select("doc_id", text.tokenize(F.coalesce("text", F.lit(""))).alias("t"))
-    rows = rows.select("doc_id", hashing.simhash_of(text.shingles(F.col("t"))).alias("simhash"))
+    rows = rows.select("doc_id", hashing.simhash_of("t").alias("simhash"))
     return rows.select("doc_id", "simhash", hashing.bands(F.col("simhash")).alias("bands"))
 
 
