@@ -17,6 +17,8 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+from larkspur.session import written
+
 # Marks that systems put where they cut; CJK characters; words; what closes a whole text.
 MARK = r"(\s*(\[\s*(\.\.\.|…)\s*\]|\(\s*(\.\.\.|…)\s*\)|…+|\.\.\.+))+\s*$"
 CJK = r"\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
@@ -25,8 +27,9 @@ WORD = "[" + CJK + "]|" + LETTER + r"+(?:[\x27’]" + LETTER + r"+)*|\d+(?:[.,:]
 WHOLE = r"[.!?。！？]+[\s)\]}»”’\x22\x27」』）】]*$"
 NAME = r"\p{Lu}\p{L}+(?=\s\d)"
 
+# Three steps, each read more than once by the next, so that texts are taken apart only once.
 # @docs: doc (any type), source, text.
-SQL = r"""
+TEXTS = r"""
 WITH texts AS (
   SELECT md5(text) AS k, first(text) AS text, first(lower(trim(source))) AS source
   FROM @docs WHERE text IS NOT NULL AND trim(regexp_replace(text, r'\s+', ' ')) <> '' GROUP BY md5(text)
@@ -34,87 +37,106 @@ WITH texts AS (
   SELECT k, source, char_length(text) AS chars, octet_length(text) AS bytes, text RLIKE r'@MARK' AS marked, text RLIKE r'(�|(^|\s)&#?\w{0,8}|<[a-zA-Z/!][^<>]*)\s*$' AS broken,
     regexp_replace(regexp_replace(regexp_replace(text, r'@MARK', ''), r'[\s�]+$', ''), r'@NAME', '№') AS body
   FROM texts
-), texts_lines AS (
-  SELECT k, source, chars, bytes, marked, broken, (body RLIKE r'@WHOLE' AND NOT body RLIKE r'\d[.]$' AND NOT marked) AS whole,
-    transform(filter(split(body, '\n', -1), l -> trim(l) <> ''), l -> regexp_extract_all(l, r'@WORD', 0)) AS lines
-  FROM stripped
-), counted AS (
-  SELECT a, b, c, sum(on) AS on, sum(inner_end) AS inner_end, sum(text_end) AS text_end FROM (
-    SELECT g.a, g.b, g.c, CAST(NOT g.last AS INT) AS on, CAST(g.last AND n < m - 1 AS INT) AS inner_end, CAST(g.last AND n = m - 1 AS INT) AS text_end
-    FROM (
-      SELECT n, m, explode(transform(words, (w, i) -> named_struct(
-        'a', CASE WHEN i < 2 THEN '^' ELSE words[i - 2] END, 'b', CASE WHEN i < 1 THEN '^' ELSE words[i - 1] END, 'c', w, 'last', i = size(words) - 1))) AS g
-      FROM (SELECT n, m, transform(line, w -> CASE WHEN w RLIKE '^[0-9]' THEN '0' ELSE lower(w) END) AS words FROM (SELECT size(lines) AS m, posexplode(lines) AS (n, line) FROM texts_lines))
-    )
-  ) GROUP BY a, b, c
-), lengths AS (
-  SELECT source, kind, len, count(*) AS n FROM (SELECT source, stack(2, 'c', chars, 'b', bytes) AS (kind, len) FROM texts_lines) GROUP BY source, kind, len
+)
+SELECT k, source, chars, bytes, marked, broken, (body RLIKE r'@WHOLE' AND NOT body RLIKE r'\d[.]$' AND NOT marked) AS whole,
+  regexp_extract(right(body, 60), r'(\S)\S*$', 1) AS head, regexp_replace(lower(body), r'\d+(?:[.,:]\d+)*', '0') AS body
+FROM stripped
+"""
+
+# How often each trigram goes on in its line, ends a line inside its text, and ends its text; ^ stands before a line.
+COUNTED = r"""
+SELECT g.a, g.b, g.c, sum(CASE WHEN g.last THEN 0 ELSE 1 END) AS on, sum(CASE WHEN g.last AND n < m - 1 THEN 1 ELSE 0 END) AS inner_end, sum(CASE WHEN g.last AND n = m - 1 THEN 1 ELSE 0 END) AS text_end
+FROM (
+  SELECT n, m, explode(transform(words, (w, i) -> named_struct('a', CASE WHEN i < 2 THEN '^' ELSE words[i - 2] END, 'b', CASE WHEN i < 1 THEN '^' ELSE words[i - 1] END, 'c', w, 'last', i = size(words) - 1))) AS g
+  FROM (
+    SELECT n, m, regexp_extract_all(line, r'@WORD', 0) AS words
+    FROM (SELECT size(lines) AS m, posexplode(lines) AS (n, line) FROM (SELECT filter(split(body, r'\n', -1), l -> trim(l) <> '') AS lines FROM @texts))
+  )
+) GROUP BY g.a, g.b, g.c
+"""
+
+VERDICTS = r"""
+WITH lengths AS (
+  SELECT source, kind, len, count(*) AS n FROM (SELECT source, stack(2, 'c', chars, 'b', bytes) AS (kind, len) FROM @texts) GROUP BY source, kind, len
 ), limits AS (
   SELECT source, kind, len FROM (
     SELECT *, sum(n) OVER (PARTITION BY source, kind ORDER BY len RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - n AS near FROM lengths
   ) WHERE n >= 5 AND n >= 4 * near / 20 + 3
 ), finals AS (
-  SELECT k, marked, broken, w[size(w) - 1] AS raw, source, chars, bytes,
-    CASE WHEN size(w) < 3 THEN '^' ELSE CASE WHEN w[size(w) - 3] RLIKE '^[0-9]' THEN '0' ELSE lower(w[size(w) - 3]) END END AS a,
-    CASE WHEN size(w) < 2 THEN '^' ELSE CASE WHEN w[size(w) - 2] RLIKE '^[0-9]' THEN '0' ELSE lower(w[size(w) - 2]) END END AS b,
-    CASE WHEN w[size(w) - 1] RLIKE '^[0-9]' THEN '0' ELSE lower(w[size(w) - 1]) END AS c
-  FROM (SELECT *, element_at(lines, -1) AS w FROM texts_lines WHERE (NOT whole OR broken) AND size(lines) > 0) WHERE size(w) > 0
+  SELECT k, marked, broken, head, source, chars, bytes, w[size(w) - 1] AS c, CASE WHEN size(w) < 2 THEN '^' ELSE w[size(w) - 2] END AS b, CASE WHEN size(w) < 3 THEN '^' ELSE w[size(w) - 3] END AS a
+  FROM (SELECT *, regexp_extract_all(substring_index(body, '\n', -1), r'@WORD', 0) AS w FROM @texts WHERE NOT whole OR broken) WHERE size(w) > 0
 ), begun AS (
   SELECT a, b, p, sum(on + inner_end) AS n FROM (
-    SELECT a, b, on, inner_end, explode(transform(sequence(1, char_length(c) - 1), i -> substring(c, 1, i))) AS p FROM counted WHERE char_length(c) > 1 AND on + inner_end > 0
+    SELECT a, b, on, inner_end, explode(transform(sequence(1, char_length(c) - 1), i -> substring(c, 1, i))) AS p FROM @counted WHERE char_length(c) > 1 AND on + inner_end > 0
   ) GROUP BY a, b, p
 ), pairs AS (
-  SELECT b, c, sum(on) AS on, sum(inner_end) AS inner_end, sum(text_end) AS text_end FROM counted GROUP BY b, c
+  SELECT b, c, sum(on) AS on, sum(inner_end) AS inner_end, sum(text_end) AS text_end FROM @counted GROUP BY b, c
 ), pairs_begun AS (
-  SELECT b, p, sum(n) AS n FROM begun GROUP BY b, p
+  SELECT b, p, sum(on + inner_end) AS n FROM (
+    SELECT b, on, inner_end, explode(transform(sequence(1, char_length(c) - 1), i -> substring(c, 1, i))) AS p FROM pairs WHERE char_length(c) > 1 AND on + inner_end > 0
+  ) GROUP BY b, p
 ), judged AS (
   SELECT f.k,
     coalesce(t.on, 0) AS on, coalesce(t.inner_end, 0) + greatest(coalesce(t.text_end, 0) - 1, 0) AS ends, coalesce(p.n, 0) AS begun,
     coalesce(q.on, 0) AS pair_on, coalesce(q.inner_end, 0) + greatest(coalesce(q.text_end, 0) - 1, 0) AS pair_ends, coalesce(pb.n, 0) AS pair_begun,
-    coalesce(m.on, 0) AS name_on, coalesce(m.inner_end, 0) AS name_ends, f.marked, f.broken, f.raw,
+    coalesce(m.on, 0) AS name_on, coalesce(m.inner_end, 0) AS name_ends, f.marked, f.broken, f.head,
     (lc.len IS NOT NULL OR lb.len IS NOT NULL) AS at_limit
   FROM finals f
-  LEFT JOIN counted t ON f.a = t.a AND f.b = t.b AND f.c = t.c
+  LEFT JOIN @counted t ON f.a = t.a AND f.b = t.b AND f.c = t.c
   LEFT JOIN begun p ON f.a = p.a AND f.b = p.b AND f.c = p.p
+  LEFT JOIN @counted m ON f.a = m.a AND f.b = m.b AND m.c = '№'
   LEFT JOIN pairs q ON f.b = q.b AND f.c = q.c
   LEFT JOIN pairs_begun pb ON f.b = pb.b AND f.c = pb.p
-  LEFT JOIN counted m ON f.a = m.a AND f.b = m.b AND m.c = '№'
   LEFT JOIN limits lc ON lc.kind = 'c' AND lc.source <=> f.source AND lc.len = f.chars
   LEFT JOIN limits lb ON lb.kind = 'b' AND lb.source <=> f.source AND lb.len = f.bytes
-), verdicts AS (
-  SELECT k, broken
-    OR (on >= 3 AND ends <= 0.1 * (on + ends))
-    OR ((marked OR at_limit) AND (on >= 1 OR ends = 0))
-    OR (begun >= 3 AND on + ends <= 0.1 * begun)
-    OR (on + ends = 0 AND pair_on >= 5 AND pair_ends <= 0.02 * (pair_on + pair_ends))
-    OR (on + ends + begun = 0 AND pair_begun >= 5 AND pair_on + pair_ends <= 0.02 * pair_begun)
-    OR (raw RLIKE r'^\p{Lu}' AND on + ends = 0 AND name_on >= 3 AND name_ends <= 0.1 * (name_on + name_ends)) AS cut
-  FROM judged
 )
+SELECT k, broken
+  OR (on >= 3 AND ends <= 0.1 * (on + ends))
+  OR ((marked OR at_limit) AND (on >= 1 OR ends = 0))
+  OR (begun >= 3 AND on + ends <= 0.1 * begun)
+  OR (on + ends = 0 AND pair_on >= 5 AND pair_ends <= 0.02 * (pair_on + pair_ends))
+  OR (on + ends + begun = 0 AND pair_begun >= 5 AND pair_on + pair_ends <= 0.02 * pair_begun)
+  OR (head RLIKE r'^\p{Lu}' AND on + ends = 0 AND name_on >= 3 AND name_ends <= 0.1 * (name_on + name_ends)) AS cut
+FROM judged
 """
 
 
-def _run(docs: DataFrame, ident: str, source: str, text: str, select: str) -> DataFrame:
-    spark, view = docs.sparkSession, f"docs_{uuid.uuid4().hex}"
-    sql = SQL + select
-    for name, value in (("@MARK", MARK), ("@WHOLE", WHOLE), ("@WORD", WORD), ("@NAME", NAME), ("@docs", view)):
+def _sql(sql: str, **views: DataFrame) -> DataFrame:
+    """Run SQL over DataFrames named in it by @name."""
+    spark = next(iter(views.values())).sparkSession
+    for name, value in (("@MARK", MARK), ("@WHOLE", WHOLE), ("@WORD", WORD), ("@NAME", NAME)):
         sql = sql.replace(name, value)
-    docs.selectExpr(f"`{ident}` AS doc", f"`{source}` AS source", f"`{text}` AS text").createTempView(view)
+    made = []
     try:
+        for name, df in views.items():
+            made.append(f"{name}_{uuid.uuid4().hex}")
+            df.createTempView(made[-1])
+            sql = sql.replace(f"@{name}", made[-1])
         return spark.sql(sql)
     finally:
-        spark.catalog.dropTempView(view)
+        for view in made:
+            spark.catalog.dropTempView(view)
+
+
+def verdicts(docs: DataFrame, ident: str, source: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The documents as ``doc, source, text``, and ``k`` (MD5 of a text) and ``cut`` of each text that doesn't close as a whole one."""
+    rows = docs.selectExpr(f"`{ident}` AS doc", f"`{source}` AS source", f"`{text}` AS text")
+    texts = written(_sql(TEXTS, docs=rows), "texts")
+    counted = written(_sql(COUNTED, texts=texts), "trigrams")
+    return rows, _sql(VERDICTS, texts=texts, counted=counted)
 
 
 def truncated(docs: DataFrame, ident: str, source: str, text: str) -> DataFrame:
     """``doc`` of each document whose text was cut."""
-    return _run(docs, ident, source, text, "SELECT d.doc FROM @docs d JOIN (SELECT k FROM verdicts WHERE cut) v ON md5(d.text) = v.k")
+    rows, said = verdicts(docs, ident, source, text)
+    return _sql("SELECT d.doc FROM @docs d JOIN (SELECT k FROM @said WHERE cut) v ON md5(d.text) = v.k", docs=rows, said=said)
 
 
 def truncation_rates(docs: DataFrame, ident: str, source: str, text: str) -> DataFrame:
     """``source, documents, cut_documents, rate``; sources alike but for case and outer spaces are one, a null source is one of its own."""
-    return _run(
-        docs, ident, source, text,
+    rows, said = verdicts(docs, ident, source, text)
+    return _sql(
         "SELECT lower(trim(d.source)) AS source, count(*) AS documents, count(v.k) AS cut_documents, round(count(v.k) / count(*), 9) AS rate "
-        "FROM @docs d LEFT JOIN (SELECT k FROM verdicts WHERE cut) v ON md5(d.text) = v.k GROUP BY lower(trim(d.source))",
+        "FROM @docs d LEFT JOIN (SELECT k FROM @said WHERE cut) v ON md5(d.text) = v.k GROUP BY lower(trim(d.source))",
+        docs=rows, said=said,
     )
