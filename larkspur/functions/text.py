@@ -109,4 +109,4 @@ def snippet(content: Column, fallback: Column, terms: list[str], length: int = 1
         F.when(end < n, F.lit("…")).otherwise(F.lit("")),
     )
     plain = F.when(fallback != "", fallback).otherwise(F.concat(F.substring(content, 1, length), F.when(n > length, F.lit("…")).otherwise(F.lit(""))))
-    return F.when((content == "") | content.isNull(), fallback).otherwise(F.coalesce(cut, plain))
+    return F.when((content == "") | content.isNull(), fallback).when(at.isNotNull(), cut).otherwise(plain)

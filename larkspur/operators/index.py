@@ -39,7 +39,7 @@ def index_sources(pages: DataFrame, links: DataFrame, hosts: DataFrame) -> DataF
     ranks = host_ranks(hosts).withColumnRenamed("host", "_host")
     joined = rows.join(anchors, F.col("url") == F.col("_url"), "left").join(ranks, F.col("host") == F.col("_host"), "left")
     return joined.select(
-        "page_id", "url", "host", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "description", "headings", "content", "anchor_text")], "language",
+        "page_id", "url", normalize_url(F.col("url")).alias("norm_url"), "host", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "description", "headings", "content", "anchor_text")], "language",
         F.coalesce("page_rank", F.lit(0.0)).alias("page_rank"), F.coalesce("host_rank", F.lit(0.0)).alias("host_rank"),
         F.coalesce("clicks", F.lit(0)).alias("clicks"), F.coalesce("impressions", F.lit(0)).alias("impressions"), "changed_at",
     )
@@ -47,7 +47,7 @@ def index_sources(pages: DataFrame, links: DataFrame, hosts: DataFrame) -> DataF
 
 def field_texts() -> dict[str, Column]:
     """The text of each searchable field of a source row."""
-    return {"title": F.col("title"), "headings": F.col("headings"), "description": F.col("description"), "anchor": F.col("anchor_text"), "url": url_text(normalize_url(F.col("url"))), "body": F.col("content")}
+    return {"title": F.col("title"), "headings": F.col("headings"), "description": F.col("description"), "anchor": F.col("anchor_text"), "url": url_text(F.col("norm_url")), "body": F.col("content")}
 
 
 def tokenized(sources: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
@@ -95,4 +95,4 @@ def normalized_texts(sources: DataFrame) -> DataFrame:
 
 def depth(sources: DataFrame) -> Column:
     """Path segments of the page's URL."""
-    return path_depth(normalize_url(sources["url"]))
+    return path_depth(sources["norm_url"])

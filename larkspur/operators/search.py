@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.hashing import shard, url_hash
 from larkspur.functions.text import normalize_text, snippet
-from larkspur.functions.urls import host_within, normalize_url, path_depth
+from larkspur.functions.urls import host_within, path_depth
 from larkspur.operators.index import corpus_stats, matching_postings
 from larkspur.plans.query import Query
 from larkspur.schema import DEFAULTS, FIELD_B, FIELD_WEIGHTS, FIELDS, K1, SYNONYM_FACTOR, WEIGHTS, Settings
@@ -68,7 +68,7 @@ def document_columns(sources: DataFrame, query: Query) -> DataFrame:
         rows = rows.where(F.col("_title").contains(phrase) | F.col("_text").contains(phrase))
     said = F.lit(bool(query.text))
     return rows.select(
-        "page_id", "url", "host", "title", "description", "language", "changed_at", "page_rank", "host_rank", "clicks", "impressions", path_depth(normalize_url(F.col("url"))).alias("depth"),
+        "page_id", "url", "host", "title", "description", "language", "changed_at", "page_rank", "host_rank", "clicks", "impressions", path_depth(F.col("norm_url")).alias("depth"),
         (said & F.col("_title").contains(query.text)).cast("double").alias("in_title"), (said & F.col("_text").contains(query.text)).cast("double").alias("in_body"),
     )
 

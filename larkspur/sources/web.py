@@ -236,7 +236,7 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     ``/robots.txt`` is always allowed; URLs of origins without rules are allowed. Repeated rows of a URL come back once.
     """
     r = rules.where("pattern IS NOT NULL").select(F.col("origin").alias("_o"), "allow", "pattern")
-    hit = F.col("path").rlike(pattern_regex(F.col("pattern")))
+    hit = F.regexp_like(F.col("path"), pattern_regex(F.col("pattern")))
     best = F.max(F.when(hit, F.struct(F.char_length("pattern").alias("n"), F.col("allow")))).alias("best")
     joined = urls.dropDuplicates(["origin", "path"]).join(r, F.col("origin") == F.col("_o"), "left")
     return joined.groupBy("origin", "path").agg(best).select("origin", "path", ((F.col("path") == "/robots.txt") | F.coalesce(F.col("best.allow"), F.lit(True))).alias("allowed"))
