@@ -10,8 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# FNV-1a 64 offset and prime, and the constants of the SplitMix64 finaliser.
+# FNV-1a 64 offset and prime, the seed of the second Bloom hash, and the constants of the SplitMix64 finaliser.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+SECOND_SEED = 0x84222325CBF29CE4
 MIX_ADD, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 BUCKETS = 1024
 
@@ -71,8 +72,8 @@ def bloom_positions(bits: int = 1 << 30, hashes: int = 7):  # noqa: ANN201
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def positions(key: pd.Series) -> pd.Series:
         def many(x: list[str]) -> list[list[int]]:
-            h1 = fnv1a64(x)
-            h2 = mix(h1) | np.uint64(1)
+            h1 = mix(fnv1a64(x))
+            h2 = mix(fnv1a64(x, SECOND_SEED)) | np.uint64(1)
             with np.errstate(over="ignore"):
                 p = (h1[:, None] + np.arange(hashes, dtype=np.uint64)[None, :] * h2[:, None]) % np.uint64(bits)
             return [list(map(int, r)) for r in p]

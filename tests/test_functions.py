@@ -28,7 +28,7 @@ TOKENS = {
     "The Swift Programming Language": "swift programming language",
     "NavigationStack": "navigationstack navigation stack",
     "検索エンジン": "検索 索エ エン ンジ ジン",
-    "Swiftで検索": "swift で 検索",
+    "Swiftで検索": "swift で検 検索",
     "ＳＷＩＦＴ　６": "swift 6",
     "snake_case it's": "snake case s",
     "HTTPServer2": "httpserver2 http server",
