@@ -29,8 +29,9 @@ class BloomChain:
     def _add_layer(self) -> None:
         i = len(self.layers)
         n, e = self.capacity * self.growth**i, self.error * self.tighten**i
-        bits = math.ceil(-n * math.log(e) / math.log(2) ** 2)
-        self.layers.append((np.zeros(bits // 8 + 1, np.uint8), bits, math.ceil(-math.log2(e)), n))
+        k = math.ceil(-math.log2(e))
+        bits = math.ceil(-k * n / math.log(1 - e ** (1 / k))) | 1  # so many that k whole hashes give the rate e when n keys are in
+        self.layers.append((np.zeros(bits // 8 + 1, np.uint8), bits, k, n))
         self.count = 0
 
     @property
@@ -40,8 +41,10 @@ class BloomChain:
 
     @staticmethod
     def _positions(h1: np.ndarray, h2: np.ndarray, bits: int, hashes: int) -> np.ndarray:
+        # enhanced double hashing: the cubic term keeps keys with related steps apart; layers differ by their number of bits
         i = np.arange(hashes, dtype=np.uint64)[:, None]
-        return (h1[None, :] + i * (h2 | np.uint64(1))[None, :]) % np.uint64(bits)
+        mixed = (h1 ^ np.uint64(bits)) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed ^ (mixed >> np.uint64(29)))[None, :] % np.uint64(bits) + i * (h2 % np.uint64(bits))[None, :] + (i * i * i - i) // np.uint64(6)) % np.uint64(bits)
 
     def contains(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Whether each key may have been added; never false for one that was."""
