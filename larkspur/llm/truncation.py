@@ -22,8 +22,9 @@ from larkspur.session import written
 # Marks that systems put where they cut; CJK characters; words; what closes a whole text.
 MARK = r"(\s*(\[\s*(\.\.\.|…)\s*\]|\(\s*(\.\.\.|…)\s*\)|…+|\.\.\.+))+\s*$"
 CJK = r"\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+LATIN = r"[a-z\u00df-\u00f6\u00f8-\u024f]"  # most words of most texts, tried first; texts are in lower case by then
 LETTER = r"[\p{L}\p{M}&&[^" + CJK + "]]"
-WORD = "[" + CJK + "]|" + LETTER + r"+(?:[\x27’]" + LETTER + r"+)*|\d+(?:[.,:]\d+)*|[^\s\p{L}\p{M}\p{N}]"
+WORD = LATIN + r"+(?:[\x27’]" + LATIN + r"+)*|[" + CJK + "]|" + LETTER + r"+(?:[\x27’]" + LETTER + r"+)*|\d+(?:[.,:]\d+)*|[^\s\p{L}\p{M}\p{N}]"
 WHOLE = r"[.!?。！？]+[\s)\]}»”’\x22\x27」』）】]*$"
 NAME = r"\p{Lu}\p{L}+(?=\s\d)"
 
@@ -32,7 +33,7 @@ NAME = r"\p{Lu}\p{L}+(?=\s\d)"
 TEXTS = r"""
 WITH texts AS (
   SELECT md5(text) AS k, first(text) AS text, first(lower(trim(source))) AS source
-  FROM @docs WHERE text IS NOT NULL AND trim(regexp_replace(text, r'\s+', ' ')) <> '' GROUP BY md5(text)
+  FROM @docs WHERE text IS NOT NULL AND text RLIKE r'\S' GROUP BY md5(text)
 ), stripped AS (
   SELECT k, source, char_length(text) AS chars, octet_length(text) AS bytes, text RLIKE r'@MARK' AS marked, text RLIKE r'(�|(^|\s)&#?\w{0,8}|<[a-zA-Z/!][^<>]*)\s*$' AS broken,
     regexp_replace(regexp_replace(regexp_replace(text, r'@MARK', ''), r'[\s�]+$', ''), r'@NAME', '№') AS body
