@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -41,7 +42,7 @@ def fresh_index(spark: SparkSession, path: str, batches: int) -> DataFrame:
 class FrontierProcessor(StatefulProcessor):
     """Per origin: a queue of URLs by priority and arrival, the URLs seen, and the time of the next request.
 
-    Every batch hands out at most one URL of each origin, and none before its next time; a URL seen before is not queued again.
+    Every batch with news of an origin hands out at most one of its URLs, and none before its next time; a URL seen before is not queued again.
     """
 
     def __init__(self, delay_ms: int):
@@ -58,7 +59,7 @@ class FrontierProcessor(StatefulProcessor):
                 if not self.seen.containsKey((url,)):
                     self.seen.updateValue((url,), (int(seq),))
                     self.queue.updateValue((url,), (int(priority), int(seq)))
-        now = timerValues.getCurrentProcessingTimeInMs()
+        now = int(time.time() * 1000)
         if self.next.exists() and self.next.get()[0] > now:
             return
         best = min(((tuple(v), k[0]) for k, v in self.queue.iterator()), default=None)
@@ -75,7 +76,8 @@ def frontier_stream(entries: DataFrame, delay_ms: int = 1000) -> DataFrame:
     """Leases ``origin, url, priority, seq`` from a stream of ``origin, url, priority, seq``. Needs the RocksDB state store."""
     rows = entries.where("origin IS NOT NULL AND url IS NOT NULL")
     return rows.groupBy("origin").transformWithStateInPandas(
-        statefulProcessor=FrontierProcessor(delay_ms), outputStructType="origin string, url string, priority long, seq long", outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=FrontierProcessor(delay_ms), outputStructType="origin string, url string, priority long, seq long", outputMode="Append",
+        timeMode="None",  # processing-time mode would never end a trigger of what is available
     )
 
 
