@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import hashing, text, urls
 from larkspur.operators import crawl
 from larkspur.plans import duck
-from larkspur.session import table
+from larkspur.session import table, written
 
 
 def _url(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,8 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of each document with its bands."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.tokenize(F.coalesce("text", F.lit(""))).alias("t"))
+    # written first: one Arrow step inside another's argument cannot be planned
+    rows = written(table(spark, sf_dir, "documents").select("doc_id", text.tokenize(F.coalesce("text", F.lit(""))).alias("t")), "tokens")
     rows = rows.select("doc_id", hashing.simhash_of("t").alias("simhash"))
     return rows.select("doc_id", "simhash", hashing.bands(F.col("simhash")).alias("bands"))
 
