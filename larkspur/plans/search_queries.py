@@ -25,7 +25,9 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @lru_cache(maxsize=8)
 def _built(app: str, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     spark = SparkSession.getActiveSession()
-    src = written(_sources(spark, sf_dir), "sources")
+    # taking texts apart is the costly part: as many pieces as there are cores, or more where the session asks for more
+    pieces = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    src = written(_sources(spark, sf_dir).repartition(pieces, "page_id"), "sources")
     return src, written(index.tokenized(src), "tokens")
 
 
