@@ -144,8 +144,8 @@ def fetch_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retry_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries to be tried again, with one retry more, up to three."""
-    rows = table(spark, sf_dir, "frontier").select("seq", "retries", "depth", "kind").distinct().where(F.pmod("seq", F.lit(5)) == 0)
+    """Entries to be tried again, with one retry more, up to three: all of the frontier that have retries left."""
+    rows = table(spark, sf_dir, "frontier").select("seq", "retries", "depth", "kind").distinct()
     return rows.where(F.col("retries") < 3).select("seq", (F.col("retries") + 1).cast("long").alias("retries"), crawl.priority(F.col("kind"), F.col("depth"), F.col("retries") + 1).cast("long").alias("priority"))
 
 
