@@ -9,7 +9,7 @@ from larkspur.operators import crawl, graph
 from larkspur.plans import duck
 from larkspur.session import table
 
-ITERATIONS = 8
+ITERATIONS = 8  # depth of the SQL; the queries go on until the ranks stand
 
 
 def _page_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -27,19 +27,19 @@ def edge_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PageRank after a fixed number of iterations."""
-    return graph.pagerank(*_page_graph(spark, sf_dir), iterations=ITERATIONS, tolerance=0.0).select("id", F.round("rank", 12).alias("rank"))
+    """PageRank of all pages, until it changes by less than 1e-9 in all."""
+    return graph.pagerank(*_page_graph(spark, sf_dir)).select("id", F.round("rank", 12).alias("rank"))
 
 
 def hostrank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over distinct links between different hosts."""
-    return graph.pagerank(*_host_graph(spark, sf_dir), iterations=ITERATIONS, tolerance=0.0).select("id", F.round("rank", 12).alias("rank"))
+    return graph.pagerank(*_host_graph(spark, sf_dir)).select("id", F.round("rank", 12).alias("rank"))
 
 
 def rank_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host ranks that differ from the stored ones."""
     stored = table(spark, sf_dir, "hosts").groupBy(graph.host_key(F.col("host")).alias("id")).agg(F.max("host_rank").alias("old_rank"))
-    new = graph.pagerank(*_host_graph(spark, sf_dir), iterations=2, tolerance=0.0)
+    new = graph.pagerank(*_host_graph(spark, sf_dir))
     return graph.changed_ranks(stored, new).select("id", F.round("rank", 12).alias("rank"))
 
 

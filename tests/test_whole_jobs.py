@@ -1,8 +1,9 @@
 """Queries do the whole job: nothing is sampled, cut at a length or left behind."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from larkspur.plans import crawl_queries
+from larkspur.plans import crawl_queries, graph_queries
 
 
 def _frontier(spark, path, rows):
@@ -15,3 +16,28 @@ def test_retry_queue_takes_every_entry_with_retries_left(spark, tmp_path):
     rows = [("o", f"u{i}", i, i % 4, "sitemap" if i == 6 else "page", i) for i in range(12)]
     got = sorted(tuple(r) for r in crawl_queries.retry_queue(spark, _frontier(spark, tmp_path, [*rows, rows[1]])).collect())
     assert got == [(i, i % 4 + 1, -1 if i == 6 else i + 2 * (i % 4 + 1)) for i in range(12) if i % 4 < 3]
+
+
+def _fixed_point(nodes, edges):
+    out = {n: {b for a, b in edges if a == n and b != n} for n in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(500):
+        spread = sum(rank[n] for n in nodes if not out[n])
+        rank = {n: (0.15 + 0.85 * spread) / len(nodes) + 0.85 * sum(rank[m] / len(out[m]) for m in nodes if n in out[m]) for n in nodes}
+    return rank
+
+
+def test_ranks_are_those_that_stand(spark, tmp_path):
+    # a ring with a tail: it converges slowly
+    nodes = [f"h{i}.example" for i in range(8)]
+    edges = [(nodes[i], nodes[(i + 1) % 7]) for i in range(7)] + [(nodes[0], nodes[7]), (nodes[3], nodes[0])]
+    links = [(f"https://{a}/", a, f"https://{b}/", b) for a, b in edges]
+    spark.createDataFrame([(f"https://{n}/", "ok") for n in nodes], "url string, status string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(links, "source_url string, source_host string, target_url string, target_host string").write.parquet(f"{tmp_path}/links.parquet")
+    want = _fixed_point(nodes, edges)
+    stored = [(n, want[n] if i == 2 else 0.5) for i, n in enumerate(nodes)]
+    spark.createDataFrame(stored, "host string, host_rank double").write.parquet(f"{tmp_path}/hosts.parquet")
+    got = {q: {r.id.removeprefix("https://").rstrip("/"): r["rank"] for r in graph_queries.QUERIES[q](spark, str(tmp_path)).collect()} for q in ("pagerank", "hostrank", "rank_writeback")}
+    assert got["pagerank"] == pytest.approx(want, abs=1e-8) and got["hostrank"] == pytest.approx(want, abs=1e-8)
+    back = got["rank_writeback"]
+    assert back == pytest.approx({n: want[n] for n in back}, abs=1e-8) and set(nodes) - set(back) <= {nodes[2]}
