@@ -123,10 +123,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of two to four repeated lines, with the number of pages that have them."""
+    """Runs of two or more repeated lines, of any length, with the number of pages that have them."""
     rows = _sequences(spark, sf_dir)
     found = site_lines.occurrences(rows, site_lines.frequent_lines(rows, 6))
-    return site_lines.frequent_sequences(found, 6, 4)
+    return site_lines.frequent_sequences(found, 6)
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> dict[str, int]:

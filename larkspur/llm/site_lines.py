@@ -56,24 +56,33 @@ def occurrences(sequences: DataFrame, frequent: DataFrame) -> DataFrame:
     return rows.join(table, ["source", "line", "salt"], "left_semi").select("doc", "source", "line_no", "line")
 
 
-def frequent_sequences(found: DataFrame, min_docs: int, max_length: int) -> DataFrame:
-    """Levels 2 to ``max_length``: ``source``, ``length``, ``lines`` (identifiers in order) and ``docs``.
+def frequent_sequences(found: DataFrame, min_docs: int, max_length: int | None = None) -> DataFrame:
+    """All levels from 2 on (to ``max_length``, if given): ``source``, ``length``, ``lines`` (identifiers in order) and ``docs``.
 
-    Sequences are runs of frequent lines, other lines between them left out. Each level keeps only the occurrences
-    whose sequence is frequent and extends those.
+    Sequences are runs of frequent lines, other lines between them left out. Each level keeps only the occurrences whose sequence is frequent and
+    joins each to that of the next line, until no sequence is frequent: a run of n + 1 lines is frequent only if its first and last n are.
     """
-    ahead = Window.partitionBy("doc").orderBy("line_no").rowsBetween(0, max_length - 1)
-    runs = checkpointed(found.select("source", "doc", F.collect_list("line").over(ahead).alias("run")))
-    out, alive = None, runs
-    for n in range(2, max_length + 1):
-        grown = alive.where(F.size("run") >= n).withColumn("lines", F.slice("run", 1, n)).withColumn("pattern", F.xxhash64("lines"))
-        level = (
-            grown.select("source", "doc", "pattern", "lines").dropDuplicates(["source", "pattern", "doc"])
-            .groupBy("source", "pattern").agg(F.count(F.lit(1)).alias("docs"), F.first("lines").alias("lines"))
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy("line_no"))
+    alive = checkpointed(found.select("source", "doc", nth.alias("at"), F.col("line").alias("pattern"), F.col("line").alias("last")))
+    ahead = Window.partitionBy("doc").orderBy("at")
+    out, level, n = None, None, 2
+    while max_length is None or n <= max_length:
+        follows = F.lead("at").over(ahead) == F.col("at") + 1
+        grown = alive.select("source", "doc", "at", F.col("pattern").alias("prefix"), F.lead("pattern").over(ahead).alias("suffix"), F.lead("last").over(ahead).alias("next"), follows.alias("follows"))
+        grown = grown.where("follows").select("source", "doc", "at", "prefix", F.xxhash64("prefix", "suffix").alias("pattern"), F.col("next").alias("last"))
+        docs = (
+            grown.select("source", "doc", "pattern", "prefix", "last").dropDuplicates(["source", "pattern", "doc"])
+            .groupBy("source", "pattern").agg(F.count(F.lit(1)).alias("docs"), F.first("prefix").alias("prefix"), F.first("last").alias("last"))
             .where(F.col("docs") >= min_docs)
         )
-        level = checkpointed(level.select("source", "pattern", F.lit(n).alias("length"), "lines", "docs"))
+        if level is None:
+            docs = docs.withColumn("before", F.array("prefix"))
+        else:
+            docs = docs.join(level.select("source", F.col("pattern").alias("prefix"), F.col("lines").alias("before")), ["source", "prefix"])
+        level = checkpointed(docs.select("source", "pattern", F.lit(n).alias("length"), F.concat("before", F.array("last")).alias("lines"), "docs"))
         out = level if out is None else out.unionByName(level)
-        if n < max_length:
-            alive = grown.join(level.select("source", "pattern"), ["source", "pattern"], "left_semi").select("source", "doc", "run")
+        if not level.limit(1).count():
+            break
+        alive = checkpointed(grown.join(level.select("source", "pattern"), ["source", "pattern"], "left_semi").select("source", "doc", "at", "pattern", "last"))
+        n += 1
     return out.drop("pattern")
