@@ -80,6 +80,16 @@ def exact_duplicates(pages: DataFrame) -> DataFrame:
     return rows.join(first, "content_hash").where("id <> original").select("id", "original")
 
 
+def _near(pages: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct SimHashes ``simhash, at`` and their pairs ``x, xt, y`` within ``distance`` bits, ``x`` the earlier."""
+    far = F.lit("9999-12-31").cast("timestamp")
+    hashes = checkpointed(pages.where("simhash IS NOT NULL").groupBy("simhash").agg(F.min(F.coalesce("fetched_at", far)).alias("at")))
+    banded = hashes.select("simhash", "at", F.posexplode(bands(F.col("simhash"))).alias("band", "value"))
+    a, b = banded.select("band", "value", F.col("simhash").alias("x"), F.col("at").alias("xt")), banded.select("band", "value", F.col("simhash").alias("y"), F.col("at").alias("yt"))
+    near = a.join(b, ["band", "value"]).where((F.struct("xt", "x") < F.struct("yt", "y")) & (hamming(F.col("x"), F.col("y")) <= distance))
+    return hashes, checkpointed(near.select("x", "xt", "y").distinct())
+
+
 def near_duplicates(pages: DataFrame, distance: int = 3, rounds: int = 30) -> DataFrame:
     """``simhash, original, bits``: SimHashes within ``distance`` bits of an earlier original one; ``original`` is its leader.
 
@@ -87,12 +97,10 @@ def near_duplicates(pages: DataFrame, distance: int = 3, rounds: int = 30) -> Da
     earlier hash (by first fetch, then value) leads a later one; a hash is an original once all its earlier neighbours are known to be duplicates, and a
     duplicate once one of them is an original. Of several leaders the earliest counts. ``pages`` has ``simhash`` and ``fetched_at``.
     """
-    far = F.lit("9999-12-31").cast("timestamp")
-    hashes = checkpointed(pages.where("simhash IS NOT NULL").groupBy("simhash").agg(F.min(F.coalesce("fetched_at", far)).alias("at")))
-    banded = hashes.select("simhash", "at", F.posexplode(bands(F.col("simhash"))).alias("band", "value"))
-    a, b = banded.select("band", "value", F.col("simhash").alias("x"), F.col("at").alias("xt")), banded.select("band", "value", F.col("simhash").alias("y"), F.col("at").alias("yt"))
-    near = a.join(b, ["band", "value"]).where((F.struct("xt", "x") < F.struct("yt", "y")) & (hamming(F.col("x"), F.col("y")) <= distance))
-    near = checkpointed(near.select("x", "xt", "y").distinct())
+    return _led(*_near(pages, distance), rounds)
+
+
+def _led(hashes: DataFrame, near: DataFrame, rounds: int = 30) -> DataFrame:
     state = checkpointed(hashes.join(near.select(F.col("y").alias("simhash")), "simhash", "left_anti").select("simhash", F.lit(True).alias("original")))
     open_ = checkpointed(near.select(F.col("y").alias("simhash")).distinct())
     for _ in range(rounds):
@@ -108,6 +116,28 @@ def near_duplicates(pages: DataFrame, distance: int = 3, rounds: int = 30) -> Da
     return leaders.join(dup, "y").groupBy(F.col("y").alias("simhash")).agg(F.min_by("x", F.struct("xt", "x")).alias("original")).withColumn("bits", hamming(F.col("simhash"), F.col("original")))
 
 
+def near_duplicate_pages(pages: DataFrame, ident: str, distance: int = 3) -> DataFrame:
+    """``ident, simhash, leader, bits, links`` of every page with a SimHash: the class it is in and how it hangs on it.
+
+    ``leader`` is the first page (by fetch, then ``ident``) of the leading SimHash, for originals of their own; ``bits`` lie between the page and it, 0
+    for the leader and its copies; ``links`` counts the other pages within ``distance`` bits, copies included. Rows of one ``ident`` count once.
+    """
+    rows = checkpointed(pages.where(F.col("simhash").isNotNull() & F.col(ident).isNotNull()).select(ident, "simhash", "fetched_at").dropDuplicates([ident]))
+    hashes, near = _near(rows, distance)
+    far = F.lit("9999-12-31").cast("timestamp")
+    first = rows.groupBy("simhash").agg(F.min_by(ident, F.struct(F.coalesce("fetched_at", far), F.col(ident))).alias("first"), F.count(F.lit(1)).alias("copies"))
+    first = checkpointed(first)
+    both = near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(near.select(F.col("y").alias("a"), F.col("x").alias("b")))
+    around = both.join(first.select(F.col("simhash").alias("b"), "copies"), "b").groupBy(F.col("a").alias("simhash")).agg(F.sum("copies").alias("around"))
+    led = _led(hashes, near).select("simhash", "original")
+    classes = first.join(led, "simhash", "left").join(around, "simhash", "left").select(
+        "simhash", F.coalesce("original", "simhash").alias("original"), (F.col("copies") - 1 + F.coalesce("around", F.lit(0))).alias("links")
+    )
+    leaders = first.select(F.col("simhash").alias("original"), F.col("first").alias("leader"))
+    classes = classes.join(leaders, "original").select("simhash", "leader", hamming(F.col("simhash"), F.col("original")).alias("bits"), "links")
+    return rows.select(ident, "simhash").join(classes, "simhash").select(ident, "simhash", "leader", "bits", "links")
+
+
 def frontier_new(frontier: DataFrame, pages: DataFrame) -> DataFrame:
     """``url, seq, origin, depth, retries, kind``: the first arrival of each web URL that no page has, URLs normalised."""
     rows = frontier.select(normalize_url(F.col("url")).alias("url"), "seq", "depth", "retries", "kind").where("url IS NOT NULL AND seq IS NOT NULL")

@@ -89,14 +89,14 @@ def exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SimHashes of documents within three bits of an earlier one, with their leader."""
+    """Every document with a text: its SimHash, the document that leads its class, the bits between and its links within three bits."""
     from larkspur.functions.hashing import simhash_of
     from larkspur.functions.text import tokenize
     from larkspur.session import written
 
-    rows = written(table(spark, sf_dir, "documents").where("text <> ''").select("fetched_at", tokenize(F.col("text")).alias("t")), "tokens")
-    hashed = written(rows.select("fetched_at", simhash_of("t").alias("simhash")), "simhash")
-    return crawl.near_duplicates(hashed)
+    rows = written(table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "fetched_at", tokenize(F.col("text")).alias("t")), "tokens")
+    hashed = written(rows.select("doc_id", "fetched_at", simhash_of("t").alias("simhash")), "simhash")
+    return crawl.near_duplicate_pages(hashed, "doc_id")
 
 
 def frontier_pick(spark: SparkSession, sf_dir: str) -> DataFrame:

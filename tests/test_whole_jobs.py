@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.operators import crawl
 from larkspur.plans import crawl_queries, graph_queries
 
 
@@ -41,3 +42,20 @@ def test_ranks_are_those_that_stand(spark, tmp_path):
     assert got["pagerank"] == pytest.approx(want, abs=1e-8) and got["hostrank"] == pytest.approx(want, abs=1e-8)
     back = got["rank_writeback"]
     assert back == pytest.approx({n: want[n] for n in back}, abs=1e-8) and set(nodes) - set(back) <= {nodes[2]}
+
+
+def test_near_dups_give_every_document_its_class(spark, tmp_path):
+    text = "one two three four five six seven eight"
+    docs = [("c", text, 3), ("a", text, 1), ("b", text, 2), ("x", "quite another text stands here alone", 1), ("e", "", 1), ("c", text, 3)]
+    df = spark.createDataFrame(docs, "doc_id string, text string, n int").withColumn("fetched_at", F.timestamp_seconds("n")).drop("n")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.leader, r.bits, r.links) for r in crawl_queries.near_dups(spark, str(tmp_path)).collect()}
+    assert got == {"a": ("a", 0, 2), "b": ("a", 0, 2), "c": ("a", 0, 2), "x": ("x", 0, 0)}
+
+
+def test_near_duplicate_pages_in_a_chain(spark):
+    base = 0b1011 << 40
+    rows = [("p", base, 1), ("q", base ^ 0b111, 2), ("r", base ^ 0b111111, 3), ("s", base, 9)]
+    df = spark.createDataFrame(rows, "id string, simhash long, n int").withColumn("fetched_at", F.timestamp_seconds("n"))
+    got = {r.id: (r.leader, r.bits, r.links) for r in crawl.near_duplicate_pages(df, "id").collect()}
+    assert got == {"p": ("p", 0, 2), "q": ("p", 3, 3), "r": ("r", 0, 1), "s": ("p", 0, 2)}
