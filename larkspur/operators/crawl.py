@@ -90,22 +90,21 @@ def _near(pages: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
     return hashes, checkpointed(near.select("x", "xt", "y").distinct())
 
 
-def near_duplicates(pages: DataFrame, distance: int = 3, rounds: int = 30) -> DataFrame:
+def near_duplicates(pages: DataFrame, distance: int = 3) -> DataFrame:
     """``simhash, original, bits``: SimHashes within ``distance`` bits of an earlier original one; ``original`` is its leader.
 
     Works on distinct SimHashes, as pages that share one are one case; with four bands none of up to three bits is missed. An
     earlier hash (by first fetch, then value) leads a later one; a hash is an original once all its earlier neighbours are known to be duplicates, and a
     duplicate once one of them is an original. Of several leaders the earliest counts. ``pages`` has ``simhash`` and ``fetched_at``.
     """
-    return _led(*_near(pages, distance), rounds)
+    return _led(*_near(pages, distance))
 
 
-def _led(hashes: DataFrame, near: DataFrame, rounds: int = 30) -> DataFrame:
+def _led(hashes: DataFrame, near: DataFrame) -> DataFrame:
+    """The duplicates among ``hashes``; each round solves at least the earliest open one, so that it ends."""
     state = checkpointed(hashes.join(near.select(F.col("y").alias("simhash")), "simhash", "left_anti").select("simhash", F.lit(True).alias("original")))
     open_ = checkpointed(near.select(F.col("y").alias("simhash")).distinct())
-    for _ in range(rounds):
-        if not open_.limit(1).count():
-            break
+    while open_.limit(1).count():
         known = near.join(open_, near["y"] == open_["simhash"], "left_semi").join(state.withColumnRenamed("simhash", "x"), "x", "left")
         verdict = known.groupBy(F.col("y").alias("simhash")).agg(F.max("original").alias("led"), F.count_if(F.col("original").isNull()).alias("unknown"))
         solved = checkpointed(verdict.where("led OR unknown = 0").select("simhash", (~F.coalesce("led", F.lit(False))).alias("original")))

@@ -59,3 +59,21 @@ def test_near_duplicate_pages_in_a_chain(spark):
     df = spark.createDataFrame(rows, "id string, simhash long, n int").withColumn("fetched_at", F.timestamp_seconds("n"))
     got = {r.id: (r.leader, r.bits, r.links) for r in crawl.near_duplicate_pages(df, "id").collect()}
     assert got == {"p": ("p", 0, 2), "q": ("p", 3, 3), "r": ("r", 0, 1), "s": ("p", 0, 2)}
+
+
+def test_near_duplicates_settle_chains_of_any_length(spark):
+    # each hash is two bits from the one before and four from the one before that: every second leads
+    chain = [0]
+    for i in range(69):
+        a, b = (2 * i) % 64, (2 * i + 1) % 64
+        chain.append(chain[-1] ^ (1 << a) ^ (1 << b) if i < 32 else chain[-1] ^ (1 << a) ^ (1 << ((b + 2) % 64)))
+    rows = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(chain)], "simhash long, n int").withColumn("fetched_at", F.timestamp_seconds("n"))
+    want, leaders = {}, []
+    for x in dict.fromkeys(chain):
+        near = [y for y in leaders if (x ^ y).bit_count() <= 3]
+        if near:
+            want[x] = near[0]
+        else:
+            leaders.append(x)
+    got = {r.simhash % (1 << 64): r.original % (1 << 64) for r in crawl.near_duplicates(rows).collect()}
+    assert got == want
