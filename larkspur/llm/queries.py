@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.urls import host_key, normalize_url
 from larkspur.llm import boilerplate, capping, language, mixing, packing, score_fusion, seen_keys, site_lines, tokens, truncation
-from larkspur.session import table
+from larkspur.session import checkpointed, table
 
 SCORES = {"bm25": 0, "page_rank": 6, "freshness": 8, "click_through_rate": 10}
 
@@ -73,16 +73,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chains at a coarse setting held against exact sets: arrivals, wrong answers, their rate and the bound."""
+    """The chains held against exact sets, a row for the setting of ``p4_found`` and one for a coarse one: arrivals, wrong answers, their rate, its bound and the most layers."""
     known, arrivals, shards = _keys(spark, sf_dir)
     arrivals = arrivals.where(F.col("key").isNotNull() & F.col("seq").isNotNull())
-    said = seen_keys.seen_before(known, arrivals, shards, capacity=1 << 10, error=0.005).withColumn("said", F.lit(True))
     first = arrivals.groupBy("key").agg(F.min("seq").alias("seq"))
     new = first.join(known.where("key IS NOT NULL").select("key"), "key", "left_anti").select("seq", F.lit(True).alias("new"))
-    each = arrivals.select("seq").dropDuplicates(["seq"]).join(said, "seq", "left").join(new, "seq", "left")
-    wrong_yes, wrong_no = F.col("said").isNotNull() & F.col("new").isNotNull(), F.col("said").isNull() & F.col("new").isNull()
-    counts = each.agg(F.count(F.lit(1)).alias("arrivals"), F.count_if(F.col("new").isNotNull()).alias("new_keys"), F.count_if(wrong_yes).alias("wrong_yes"), F.count_if(wrong_no).alias("wrong_no"))
-    return counts.select("*", (F.col("wrong_yes") / F.greatest("new_keys", F.lit(1))).alias("rate"), F.lit(0.01).alias("bound"))
+    truth = checkpointed(arrivals.select("seq").dropDuplicates(["seq"]).join(new, "seq", "left"))
+    wrong_yes, wrong_no = F.col("fresh").isNull() & F.col("new").isNotNull(), F.col("fresh").isNotNull() & F.col("new").isNull()
+    out = None
+    for setting, capacity, error in (("p4_found", 1 << 14, 5e-7), ("coarse", 1 << 10, 0.005)):
+        chain = checkpointed(seen_keys.first_arrivals(known, arrivals, shards, capacity, error))
+        each = truth.join(chain.where("NOT seen").select("seq", F.lit(True).alias("fresh")).dropDuplicates(["seq"]), "seq", "left")
+        counts = each.agg(F.count(F.lit(1)).alias("arrivals"), F.count_if(F.col("new").isNotNull()).alias("new_keys"), F.count_if(wrong_yes).alias("wrong_yes"), F.count_if(wrong_no).alias("wrong_no"))
+        layers = chain.agg(F.coalesce(F.max("layers"), F.lit(0)).alias("layers"))
+        row = counts.join(layers, how="cross").select(F.lit(setting).alias("setting"), *counts.columns, (F.col("wrong_yes") / F.greatest("new_keys", F.lit(1))).alias("rate"), F.lit(2 * error).alias("bound"), "layers")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
