@@ -19,41 +19,55 @@ from pyspark.sql import DataFrame
 
 from larkspur.session import written
 
-# Marks that systems put where they cut; CJK characters; words; what closes a whole text.
-MARK = r"(\s*(\[\s*(\.\.\.|…)\s*\]|\(\s*(\.\.\.|…)\s*\)|…+|\.\.\.+))+\s*$"
+# Marks that systems put where they cut; what else may stand behind them; CJK characters; what closes a whole text, and what may stand behind that.
+MARK = r"(\s*(\[\s*(\.\.\.|…)\s*\]|\(\s*(\.\.\.|…)\s*\)|…+|\.\.\.+))+$"
+BLANKS = r" \t\n\r\u000b\u000c�"
 CJK = r"\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
-LATIN = r"[a-z\u00df-\u00f6\u00f8-\u024f]"  # most words of most texts, tried first; texts are in lower case by then
-LETTER = r"[\p{L}\p{M}&&[^" + CJK + "]]"
-WORD = LATIN + r"+(?:[\x27’]" + LATIN + r"+)*|[" + CJK + "]|" + LETTER + r"+(?:[\x27’]" + LETTER + r"+)*|\d+(?:[.,:]\d+)*|[^\s\p{L}\p{M}\p{N}]"
-WHOLE = r"[.!?。！？]+[\s)\]}»”’\x22\x27」』）】]*$"
+STOPS = "'.', '!', '?', '。', '！', '？'"
+CLOSERS = BLANKS + r")]}»”’」』）】\u0022\u0027"
 NAME = r"\p{Lu}\p{L}+(?=\s\d)"
+NUMBER = r"\d+(?:[.,:]\d+)*"
+# what is a word of its own: a CJK character, and a sign but for apostrophes between letters
+SINGLE = r"([" + CJK + r"[^\s\p{L}\p{M}\p{N}\x27’]]|[\x27’](?:(?<![\p{L}\p{M}][\x27’])|(?![\p{L}\p{M}])))"
 
-# Three steps, each read more than once by the next, so that texts are taken apart only once.
+# Ends are looked at by native string functions, so that no pattern runs over whole texts but the few that make words.
 # @docs: doc (any type), source, text.
 TEXTS = r"""
 WITH texts AS (
-  SELECT md5(text) AS k, first(text) AS text, first(lower(trim(source))) AS source
-  FROM @docs WHERE text IS NOT NULL AND text RLIKE r'\S' GROUP BY md5(text)
-), stripped AS (
-  SELECT k, source, char_length(text) AS chars, octet_length(text) AS bytes, text RLIKE r'@MARK' AS marked, text RLIKE r'(�|(^|\s)&#?\w{0,8}|<[a-zA-Z/!][^<>]*)\s*$' AS broken,
-    regexp_replace(regexp_replace(regexp_replace(text, r'@MARK', ''), r'[\s�]+$', ''), r'@NAME', '№') AS body
-  FROM texts
+  SELECT md5(text) AS k, min(text) AS text, min(lower(trim(source))) AS source
+  FROM @docs WHERE text IS NOT NULL AND rtrim('@BLANKS', text) <> '' GROUP BY md5(text)
+), ended AS (
+  SELECT k, source, char_length(text) AS chars, octet_length(text) AS bytes, right(rtrim(text), 1) = '�' AS torn, rtrim('@BLANKS', text) AS body FROM texts
+), unmarked AS (
+  SELECT k, source, chars, bytes, torn, body,
+    CASE WHEN right(body, 1) IN ('…', ']', ')') OR right(body, 3) = '...' THEN rtrim('@BLANKS', regexp_replace(body, r'@MARK', '')) ELSE body END AS bare
+  FROM ended
+), closed AS (
+  SELECT k, source, chars, bytes, char_length(bare) < char_length(body) AS marked,
+    torn OR right(body, 12) RLIKE r'(^|\s)&#?\w{0,8}$' OR (contains(body, '<') AND substring_index(body, '<', -1) RLIKE r'^[a-zA-Z/!][^>]*$') AS broken, bare, right(rtrim('@CLOSERS', bare), 1) IN (@STOPS) AS stopped
+  FROM unmarked
 )
-SELECT k, source, chars, bytes, marked, broken, (body RLIKE r'@WHOLE' AND NOT body RLIKE r'\d[.]$' AND NOT marked) AS whole,
-  regexp_extract(right(body, 60), r'(\S)\S*$', 1) AS head, regexp_replace(lower(body), r'\d+(?:[.,:]\d+)*', '0') AS body
-FROM stripped
+SELECT k, source, chars, bytes, marked, broken, (stopped AND NOT right(bare, 2) RLIKE r'\d[.]' AND NOT marked) AS whole, regexp_extract(right(bare, 60), r'(\S)\S*$', 1) AS head,
+  regexp_replace(regexp_replace(lower(regexp_replace(translate(bare, '\t\r\u000b\u000c', '    '), r'@NAME', '№')), r'@NUMBER', ' 0 '), r'@SINGLE', ' $1 ') AS body
+FROM closed
 """
 
 # How often each trigram goes on in its line, ends a line inside its text, and ends its text; ^ stands before a line.
 COUNTED = r"""
-SELECT g.a, g.b, g.c, sum(CASE WHEN g.last THEN 0 ELSE 1 END) AS on, sum(CASE WHEN g.last AND n < m - 1 THEN 1 ELSE 0 END) AS inner_end, sum(CASE WHEN g.last AND n = m - 1 THEN 1 ELSE 0 END) AS text_end
+SELECT a, b, c, sum(CASE WHEN d IS NULL THEN 0 ELSE 1 END) AS on, sum(CASE WHEN d IS NULL AND n < m - 1 THEN 1 ELSE 0 END) AS inner_end, sum(CASE WHEN d IS NULL AND n = m - 1 THEN 1 ELSE 0 END) AS text_end
 FROM (
-  SELECT n, m, explode(transform(words, (w, i) -> named_struct('a', CASE WHEN i < 2 THEN '^' ELSE words[i - 2] END, 'b', CASE WHEN i < 1 THEN '^' ELSE words[i - 1] END, 'c', w, 'last', i = size(words) - 1))) AS g
+  SELECT n, m, inline(arrays_zip(a, b, c, d))
   FROM (
-    SELECT n, m, regexp_extract_all(line, r'@WORD', 0) AS words
-    FROM (SELECT size(lines) AS m, posexplode(lines) AS (n, line) FROM (SELECT filter(split(body, r'\n', -1), l -> trim(l) <> '') AS lines FROM @texts))
+    SELECT n, m, concat(array('^', '^'), c) AS a, concat(array('^'), c) AS b, c, slice(c, 2, size(c)) AS d
+    FROM (SELECT n, m, split(line, ' +') AS c FROM (SELECT size(lines) AS m, posexplode(lines) AS (n, line) FROM (SELECT filter(transform(split(body, '\n', -1), l -> trim('@BLANKS', l)), l -> l <> '') AS lines FROM @texts)))
   )
-) GROUP BY g.a, g.b, g.c
+) WHERE c IS NOT NULL GROUP BY a, b, c
+"""
+
+# The last three words of each text that doesn't close as a whole one.
+FINALS = r"""
+SELECT k, marked, broken, head, source, chars, bytes, w[size(w) - 1] AS c, CASE WHEN size(w) < 2 THEN '^' ELSE w[size(w) - 2] END AS b, CASE WHEN size(w) < 3 THEN '^' ELSE w[size(w) - 3] END AS a
+FROM (SELECT *, split(trim('@BLANKS', substring_index(body, '\n', -1)), ' +') AS w FROM @texts WHERE NOT whole OR broken) WHERE w[0] <> ''
 """
 
 VERDICTS = r"""
@@ -63,18 +77,16 @@ WITH lengths AS (
   SELECT source, kind, len FROM (
     SELECT *, sum(n) OVER (PARTITION BY source, kind ORDER BY len RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - n AS near FROM lengths
   ) WHERE n >= 5 AND n >= 4 * near / 20 + 3
-), finals AS (
-  SELECT k, marked, broken, head, source, chars, bytes, w[size(w) - 1] AS c, CASE WHEN size(w) < 2 THEN '^' ELSE w[size(w) - 2] END AS b, CASE WHEN size(w) < 3 THEN '^' ELSE w[size(w) - 3] END AS a
-  FROM (SELECT *, regexp_extract_all(substring_index(body, '\n', -1), r'@WORD', 0) AS w FROM @texts WHERE NOT whole OR broken) WHERE size(w) > 0
 ), begun AS (
   SELECT a, b, p, sum(on + inner_end) AS n FROM (
-    SELECT a, b, on, inner_end, explode(transform(sequence(1, char_length(c) - 1), i -> substring(c, 1, i))) AS p FROM @counted WHERE char_length(c) > 1 AND on + inner_end > 0
+    SELECT a, b, on, inner_end, explode(transform(sequence(1, char_length(c) - 1), i -> substring(c, 1, i))) AS p
+    FROM @counted LEFT SEMI JOIN @finals f USING (a, b) WHERE char_length(c) > 1 AND on + inner_end > 0
   ) GROUP BY a, b, p
 ), pairs AS (
   SELECT b, c, sum(on) AS on, sum(inner_end) AS inner_end, sum(text_end) AS text_end FROM @counted GROUP BY b, c
 ), pairs_begun AS (
   SELECT b, p, sum(on + inner_end) AS n FROM (
-    SELECT b, on, inner_end, explode(transform(sequence(1, char_length(c) - 1), i -> substring(c, 1, i))) AS p FROM pairs WHERE char_length(c) > 1 AND on + inner_end > 0
+    SELECT b, on, inner_end, explode(transform(sequence(1, char_length(c) - 1), i -> substring(c, 1, i))) AS p FROM pairs LEFT SEMI JOIN @finals f USING (b) WHERE char_length(c) > 1 AND on + inner_end > 0
   ) GROUP BY b, p
 ), judged AS (
   SELECT f.k,
@@ -82,7 +94,7 @@ WITH lengths AS (
     coalesce(q.on, 0) AS pair_on, coalesce(q.inner_end, 0) + greatest(coalesce(q.text_end, 0) - 1, 0) AS pair_ends, coalesce(pb.n, 0) AS pair_begun,
     coalesce(m.on, 0) AS name_on, coalesce(m.inner_end, 0) AS name_ends, f.marked, f.broken, f.head,
     (lc.len IS NOT NULL OR lb.len IS NOT NULL) AS at_limit
-  FROM finals f
+  FROM @finals f
   LEFT JOIN @counted t ON f.a = t.a AND f.b = t.b AND f.c = t.c
   LEFT JOIN begun p ON f.a = p.a AND f.b = p.b AND f.c = p.p
   LEFT JOIN @counted m ON f.a = m.a AND f.b = m.b AND m.c = '№'
@@ -105,7 +117,7 @@ FROM judged
 def _sql(sql: str, **views: DataFrame) -> DataFrame:
     """Run SQL over DataFrames named in it by @name."""
     spark = next(iter(views.values())).sparkSession
-    for name, value in (("@MARK", MARK), ("@WHOLE", WHOLE), ("@WORD", WORD), ("@NAME", NAME)):
+    for name, value in (("@MARK", MARK), ("@BLANKS", BLANKS), ("@CLOSERS", CLOSERS), ("@STOPS", STOPS), ("@NAME", NAME), ("@NUMBER", NUMBER), ("@SINGLE", SINGLE)):
         sql = sql.replace(name, value)
     made = []
     try:
@@ -124,7 +136,8 @@ def verdicts(docs: DataFrame, ident: str, source: str, text: str) -> tuple[DataF
     rows = docs.selectExpr(f"`{ident}` AS doc", f"`{source}` AS source", f"`{text}` AS text")
     texts = written(_sql(TEXTS, docs=rows), "texts")
     counted = written(_sql(COUNTED, texts=texts), "trigrams")
-    return rows, _sql(VERDICTS, texts=texts, counted=counted)
+    finals = written(_sql(FINALS, texts=texts), "finals")
+    return rows, _sql(VERDICTS, texts=texts, counted=counted, finals=finals)
 
 
 def truncated(docs: DataFrame, ident: str, source: str, text: str) -> DataFrame:
