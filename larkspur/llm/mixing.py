@@ -3,7 +3,8 @@
 Each source gets a size: its share of the total, but no more than its records times its cap of repeats; what a source cannot
 fill goes to the others in proportion. Within a source, a record's expected copies are proportional to its weight, capped, and add up to
 that size. Its whole copies are certain. For the rest, records are ranked by random odds over inclusion odds, (u/(1-u)) / (p/(1-p)), and
-the sample is a prefix of that ranking whose size in tokens is fixed: it ends with the record that brings the total nearest to the source's.
+the sample is a prefix of that ranking whose size in tokens is fixed: it ends before the record that would pass the source's size, and the one of
+the records behind whose size is nearest to what is left takes that place, if it brings the total nearer.
 The random numbers are hashes of record and seed, so that a run can be repeated.
 """
 
@@ -81,7 +82,13 @@ def mix(docs: DataFrame, goals: list[Goal], total: float | None = None, seed: in
     drawn = ranked(rows.where("p > 1e-9").withColumn("odds", odds), ["source"], [F.col("odds").asc(), F.col("doc").asc()], "place", {"upto": "tokens"})
     room = rows.groupBy("source").agg(F.sum(F.col("tokens") * F.col("sure")).alias("sure_tokens"))
     size = _by_source(goals, "size")
-    taken = drawn.join(room, "source").where(F.col("upto") - F.col("tokens") / 2 <= size - F.col("sure_tokens"))
+    placed = drawn.join(room, "source").withColumn("room", size - F.col("sure_tokens"))
+    fits = F.col("upto") <= F.col("room")
+    left = placed.groupBy("source").agg((F.max("room") - F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0))).alias("left"))
+    # one row a goal: the record behind the prefix that fills best what is left
+    behind = placed.where(~fits).join(F.broadcast(left), "source").withColumn("miss", F.abs(F.col("left") - F.col("tokens")))
+    filler = behind.where(F.col("miss") < F.col("left")).groupBy("source").agg(F.min_by(F.struct("doc", "tokens"), F.struct("miss", "place")).alias("f")).select("f.doc", "source", "f.tokens")
+    taken = placed.where(fits).select("doc", "source", "tokens").unionByName(filler)
     chosen = taken.select("doc", "source", "tokens", F.lit(1).cast("long").alias("copies")).unionByName(rows.where("sure > 0").select("doc", "source", "tokens", F.col("sure").cast("long").alias("copies")))
     return chosen.groupBy("doc", "source", "tokens").agg(F.sum("copies").alias("copies"))
 
