@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,14 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+@lru_cache(maxsize=2)
+def _encoding(vocabulary: bytes):  # noqa: ANN202 - parsed once in each worker
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def token_counts(docs: DataFrame, ident: str, text: str, carry: dict[str, Column] | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc``, ``tokens`` (long) and the carried columns of each row; null and empty texts have 0 tokens.
 
@@ -27,10 +36,7 @@ def token_counts(docs: DataFrame, ident: str, text: str, carry: dict[str, Column
     rows = docs.select(F.col(ident).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"), *[c.alias(n) for n, c in carry.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
-        encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = _encoding(vocabulary)
         for b in batches:
             n = [len(encoding.encode_ordinary(t)) for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), *[b.column(c) for c in names]], names=["doc", "tokens", *names])
