@@ -54,11 +54,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capping.over_cap(pages, "host", "page_rank", "id", cap, counts).where(F.col("rank") > cap).select("id")
 
 
+def p3_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages kept under the same cap."""
+    pages = _ok_pages(spark, sf_dir)
+    counts = capping.sizes(pages, "host")
+    return capping.capped(pages, "host", "page_rank", "id", capping.share_cap(counts, 0.02, 3), counts).select("id", "host")
+
+
 def p3_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages and kept pages of each host under the same cap."""
-    counts = capping.sizes(_ok_pages(spark, sf_dir), "host")
-    cap = capping.share_cap(counts, 0.02, 3)
-    return counts.select(F.col("contributor").alias("host"), F.col("records").alias("pages"), F.least("records", F.lit(cap)).cast("long").alias("kept"))
+    """Pages of each host and how many of them are kept."""
+    pages = _ok_pages(spark, sf_dir)
+    counts = capping.sizes(pages, "host")
+    kept = capping.capped(pages, "host", "page_rank", "id", capping.share_cap(counts, 0.02, 3), counts).groupBy("host").agg(F.count(F.lit(1)).alias("kept"))
+    return counts.join(kept, counts["contributor"].eqNullSafe(kept["host"])).select(F.col("contributor").alias("host"), F.col("records").alias("pages"), "kept")
 
 
 def _keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
@@ -159,8 +167,7 @@ def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[mixing.Goa
     goals = [mixing.Goal(r.s, r.target_share, r.max_repeats) for r in table(spark, sf_dir, "source_targets").withColumn("s", source).collect()]  # 12 rows
     wanted = table(spark, sf_dir, "documents").where(source.isin([g.source for g in goals]))
     sizes = packing.sized(tokens.token_counts(wanted, "doc_id", "text", {"source": source}))
-    # fuller documents are drawn somewhat more often than stubs
-    return mixing.mix(sizes.withColumn("weight", F.log1p("tokens")), goals), goals
+    return mixing.mix(sizes.withColumn("weight", F.lit(1.0)), goals), goals
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +192,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_ranking, p3_found, p3_hosts, p4_found, p4_error_rate, p5_found, p5_languages, p6_found, p7_found, p7_sequences, p8_packs, p8_fill, p9_mix, p9_shares, p10_found, p10_rates)
+    for f in (p2_found, p2_ranking, p3_found, p3_kept, p3_hosts, p4_found, p4_error_rate, p5_found, p5_languages, p6_found, p7_found, p7_sequences, p8_packs, p8_fill, p9_mix, p9_shares, p10_found, p10_rates)
 }
 
 _HOST = r"regexp_replace(regexp_replace(lower(trim(host)), ':(80|443)$', ''), '\.$', '')"
@@ -208,6 +215,17 @@ r AS (
   FROM taking t JOIN n USING (id)
 )
 SELECT id, position FROM r WHERE a2 = 1 AND b2 = 1 AND c2 = 1 AND d2 = 1 AND a1 + b1 + c1 + d1 = 1
+""",
+    # all pairs of an impression: results are few there
+    "p2_ranking": f"""
+WITH {_RESULTS}, n AS (SELECT id, count(*) AS n FROM taking GROUP BY id),
+long AS (SELECT id, position, unnest([1, 2, 3, 4]) AS k, unnest([a, b, c, d]) AS v FROM taking),
+pct AS (SELECT x.id, x.position, x.k, (count(*) FILTER (WHERE y.v < x.v) + (count(*) FILTER (WHERE y.v = x.v) - 1) / 2.0::DOUBLE) / greatest(any_value(n) - 1, 1) AS r FROM long x JOIN long y ON y.id = x.id AND y.k = x.k JOIN n ON n.id = x.id GROUP BY x.id, x.position, x.k),
+flows AS (
+  SELECT x.id, x.position, sum(least(greatest((x.r - y.r) / 0.5, 0), 1) - least(greatest((y.r - x.r) / 0.5, 0), 1)) / 4 / greatest(any_value(n) - 1, 1) AS flow
+  FROM pct x JOIN pct y ON y.id = x.id AND y.k = x.k JOIN n ON n.id = x.id GROUP BY x.id, x.position
+)
+SELECT id, position, round(flow, 9) AS flow, CAST(row_number() OVER (PARTITION BY id ORDER BY round(flow, 12) DESC, position) AS INTEGER) AS rank FROM flows
 """,
     "p3_found": f"""
 WITH p AS (SELECT id, any_value({_HOST}) AS host, any_value(page_rank) AS page_rank FROM pages WHERE status = 'ok' GROUP BY id),
@@ -216,6 +234,14 @@ r AS (
     greatest(3, floor(0.02 * (SELECT count(*) FROM p))) AS cap FROM p
 )
 SELECT id FROM r WHERE rank > cap
+""",
+    "p3_kept": f"""
+WITH p AS (SELECT id, any_value({_HOST}) AS host, any_value(page_rank) AS page_rank FROM pages WHERE status = 'ok' GROUP BY id),
+r AS (
+  SELECT id, host, row_number() OVER (PARTITION BY host ORDER BY CASE WHEN isnan(page_rank) THEN NULL ELSE page_rank END DESC NULLS LAST, id) AS rank,
+    greatest(3, floor(0.02 * (SELECT count(*) FROM p))) AS cap FROM p
+)
+SELECT id, host FROM r WHERE rank <= cap
 """,
     "p3_hosts": f"""
 WITH p AS (SELECT id, any_value({_HOST}) AS host FROM pages WHERE status = 'ok' GROUP BY id)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.ranking import ranked
-from larkspur.session import fresh
+from larkspur.session import checkpointed, fresh
 
 OUT = "flow double, above array<int>, equal array<int>, members int"
 
@@ -129,6 +129,7 @@ def net_flow(
         F.col(group).alias("grp"), F.col(item).alias("item"), *[(F.col(s).cast("double") + F.lit(0.0)).alias(f"s{k}") for k, s in enumerate(scores)]
     )
     large = items.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_rows).select("grp")
+    large = checkpointed(large)  # read three times; at most one group in group_rows items
     kinds = f"grp {items.schema['grp'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}, {OUT}"
     small = items.join(large, "grp", "left_anti").groupBy("grp").agg(F.collect_list(F.struct("item", *[f"s{k}" for k in range(len(scores))])).alias("rows"))
     out = small.mapInArrow(_bounded(len(scores), weights, indifference, strict), kinds)
@@ -138,6 +139,6 @@ def net_flow(
 
 
 def fused_rank(flows: DataFrame, rank: str = "rank") -> DataFrame:
-    """The place of each item by flow; equal flows by item. For groups bounded in size."""
+    """The place of each item by flow; flows equal to 12 decimals (sums taken in another order differ beyond) go by item. For groups bounded in size."""
     (name,) = fresh(flows, rank)
-    return flows.withColumn(name, F.row_number().over(Window.partitionBy("grp").orderBy(F.col("flow").desc(), "item")))
+    return flows.withColumn(name, F.row_number().over(Window.partitionBy("grp").orderBy(F.round("flow", 12).desc(), "item")))
