@@ -9,6 +9,7 @@ neither hides records from the next run nor repeats them.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -16,18 +17,66 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from larkspur.session import table
 
 
+class VersionLog:
+    """Numbered versions of a folder, each a small JSON file that appears whole or not at all."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self._jvm = spark, spark._jvm
+        hadoop = self._jvm.org.apache.hadoop.fs
+        conf = spark._jsc.hadoopConfiguration()
+        plain = hadoop.Path(path.rstrip("/"))
+        self._fs = plain.getFileSystem(conf)
+        whole = self._fs.makeQualified(plain)
+        self.path = whole.toString()
+        self._fc = hadoop.FileContext.getFileContext(whole.toUri(), conf)
+        self._fs.mkdirs(self._p("_log"))
+
+    def _p(self, name: str):  # noqa: ANN202
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def latest(self) -> dict | None:
+        """The newest published version, or None."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._p("_log"))]
+        done = [n for n in names if n.endswith(".json") and not n.startswith(".")]
+        if not done:
+            return None
+        stream = self._fs.open(self._p(f"_log/{max(done)}"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def publish(self, version: int, body: dict) -> None:
+        """Make ``version`` known by one atomic rename that refuses an existing goal: of two runs at once, one fails and can be tried again."""
+        draft = self._p(f"_log/.{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(body).encode()))
+        out.close()
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        self._fc.rename(draft, self._p(f"_log/{version:012d}.json"), options)
+
+    def vacuum(self, keep: list[str], older_than: float = 86_400.0) -> int:
+        """Remove the data folders that ``keep`` does not name and nobody has written to for ``older_than`` seconds, as failed runs leave them."""
+        data, gone = self._p("data"), 0
+        if not self._fs.exists(data):
+            return 0
+        for s in self._fs.listStatus(data):
+            if s.getPath().toString() not in keep and s.getModificationTime() < (time.time() - older_than) * 1000:
+                gone += bool(self._fs.delete(s.getPath(), True))
+        return gone
+
+
 @dataclass
 class Manifest:
-    """One published target version: the folders that belong to it and how far the source's arrivals were read."""
+    """One published target version: the folders that belong to it."""
 
     version: int = 0
     parts: list[str] = field(default_factory=list)
-    mark: str | None = None
 
 
 class IncrementalTarget:
@@ -35,54 +84,31 @@ class IncrementalTarget:
 
     ``key`` names the record, ``version`` orders its states (a later state has a greater one). Rows with a null
     key or version are no records and are left out. Equal versions of a key count as one; an older one that
-    arrives late is skipped. Extra source columns are ignored, whatever their names.
+    arrives late is skipped. Extra source columns are ignored, whatever their names. Every ``compact_after`` parts are
+    written anew as one, at publication, so that a run reads few folders.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, version: str, key_type: T.DataType | None = None):
-        self.spark, self.path, self.key, self.version = spark, path.rstrip("/"), key, version
-        jvm = spark._jvm
-        self._jvm = jvm
-        uri = jvm.java.net.URI(self.path)
-        self._fs = jvm.org.apache.hadoop.fs.FileSystem.get(uri, spark._jsc.hadoopConfiguration())
-        self._fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, spark._jsc.hadoopConfiguration()) if uri.getScheme() else None
-        self._log = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_log")
-        self._fs.mkdirs(self._log)
-
-    def _p(self, name: str):  # noqa: ANN202
-        return self._jvm.org.apache.hadoop.fs.Path(name)
+    def __init__(self, spark: SparkSession, path: str, key: str, version: str, compact_after: int = 8):
+        self.spark, self.key, self.version, self.compact_after = spark, key, version, compact_after
+        self.log = VersionLog(spark, path)
+        self.path = self.log.path
 
     def manifest(self) -> Manifest:
         """The newest published version; version 0 if there is none."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._log)]
-        done = [n for n in names if n.endswith(".json") and not n.startswith(".")]
-        if not done:
-            return Manifest()
-        stream = self._fs.open(self._p(f"{self.path}/_log/{max(done)}"))
-        try:
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return Manifest(**json.loads(text))
+        body = self.log.latest()
+        return Manifest(body["version"], body["parts"]) if body else Manifest()
 
     def rows(self, manifest: Manifest | None = None) -> DataFrame | None:
         """All published rows, or None before the first version."""
         m = manifest or self.manifest()
         return self.spark.read.parquet(*m.parts) if m.parts else None
 
-    def _publish(self, m: Manifest) -> None:
-        name = f"{m.version:012d}.json"
-        draft = self._p(f"{self.path}/_log/.{uuid.uuid4().hex}")
-        out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps(m.__dict__).encode()))
-        out.close()
-        goal = self._p(f"{self.path}/_log/{name}")
-        if self._fc is not None:  # refuses an existing goal: of two runs at once, one fails and can be tried again
-            none = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
-            options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-            options[0] = none
-            self._fc.rename(draft, goal, options)
-        elif self._fs.exists(goal) or not self._fs.rename(draft, goal):
-            raise RuntimeError(f"target version {m.version} was published by another run")
+    def vacuum(self, older_than: float = 86_400.0) -> int:
+        """Remove what failed runs and compactions have left."""
+        return self.log.vacuum(self.manifest().parts, older_than)
+
+    def _part(self) -> str:
+        return f"{self.path}/data/{uuid.uuid4().hex}"
 
     def run(
         self,
@@ -94,32 +120,30 @@ class IncrementalTarget:
     ) -> Manifest:
         """Take up what is new or changed in ``source`` and publish it as one new version.
 
-        With ``arrival`` and ``until``, only rows that arrived up to and including ``until`` are read, and of these only
-        those after the mark of the last published version; Parquet statistics prune the others.  The result would be the
-        same without the mark, as the anti-join knows every published version.  ``before_publish`` is called when all
+        With ``arrival`` and ``until``, only rows that arrived up to and including ``until`` are read. The target alone tells what is known: a
+        record that turns up later than its arrival says is taken by the next run. ``before_publish`` is called when all
         is written but nothing published (for tests of failures).
         """
         last = self.manifest()
         rows = source.select(F.col(self.key).alias("key"), F.col(self.version).alias("version"), *([F.col(arrival).alias("at")] if arrival else []))
         if arrival and until is not None:
             rows = rows.where(F.col("at") <= F.lit(until))
-            if last.mark:
-                rows = rows.where(F.col("at") > F.lit(last.mark).cast("timestamp"))
         # partial aggregation before the shuffle: a key delivered very often costs one row a task
         latest = rows.where(F.col("key").isNotNull() & F.col("version").isNotNull()).groupBy("key").agg(F.max("version").alias("version"))
         known = self.rows(last)
         if known is not None:
             k = known.select(F.col("key").alias("k"), F.col("version").alias("v"))
             latest = latest.join(k, (F.col("key") == F.col("k")) & (F.col("v") >= F.col("version")), "left_anti")
-        part = f"{self.path}/data/{uuid.uuid4().hex}"
-        latest.withColumn("run_id", F.lit(run_id).cast("long")).write.parquet(part)
+        parts = [*last.parts, self._part()]
+        latest.withColumn("run_id", F.lit(run_id).cast("long")).write.parquet(parts[-1])
+        if len(parts) > self.compact_after:
+            whole = self._part()
+            self.spark.read.parquet(*parts).repartition("key").sortWithinPartitions("key").write.parquet(whole)
+            parts = [whole]
         if before_publish:
             before_publish()
-        mark = last.mark
-        if arrival and until is not None:
-            mark = max(x for x in (mark, until.strftime("%Y-%m-%d %H:%M:%S.%f+00:00")) if x)
-        new = Manifest(last.version + 1, [*last.parts, part], mark)
-        self._publish(new)
+        new = Manifest(last.version + 1, parts)
+        self.log.publish(new.version, new.__dict__)
         return new
 
 

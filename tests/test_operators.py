@@ -51,6 +51,21 @@ def test_incremental_refuses_a_second_publisher(spark):
     assert [r.key for r in one.rows().collect()] == ["b"]
 
 
+def test_incremental_takes_what_turns_up_late(spark):
+    day = lambda n: datetime(2026, 1, n, tzinfo=timezone.utc)
+    rows = [("a", 1, day(1)), ("b", 1, day(5))]
+    make = lambda x: spark.createDataFrame(x, "k string, v int, at timestamp")
+    t = IncrementalTarget(spark, scratch_path(spark, "inc"), "k", "v", compact_after=2)
+    t.run(make(rows), 1, "at", day(5))
+    t.run(make([*rows, ("late", 1, day(4)), ("next", 1, day(7))]), 2, "at", day(6))
+    for n in (3, 4):
+        t.run(make([*rows, ("late", 1, day(4)), ("next", 1, day(7))]), n, "at", day(n + 4))
+    got = sorted((r.run_id, r.key) for r in t.rows().collect())
+    assert got == [(1, "a"), (1, "b"), (2, "late"), (3, "next")] and len(t.manifest().parts) <= 2
+    left = t.vacuum(older_than=-60)
+    assert left >= 1 and sorted((r.run_id, r.key) for r in t.rows().collect()) == got and t.vacuum(older_than=-60) == 0
+
+
 PAGES = [
     ("1", "https://a.example/swift", "a.example", "Swift guide", "intro", "Swift", "Swift server side programming with Vapor", "en"),
     ("2", "https://a.example/python", "a.example", "Python", "", "", "Python and Swift compared", "en"),
