@@ -27,8 +27,8 @@ STOPS = "'.', '!', '?', '。', '！', '？'"
 CLOSERS = BLANKS + r")]}»”’」』）】\u0022\u0027"
 NAME = r"\p{Lu}\p{L}+(?=\s\d)"
 NUMBER = r"\d+(?:[.,:]\d+)*"
-# what is a word of its own: a CJK character, and a sign but for apostrophes between letters
-SINGLE = r"([" + CJK + r"[^\s\p{L}\p{M}\p{N}\x27’]]|[\x27’](?:(?<![\p{L}\p{M}][\x27’])|(?![\p{L}\p{M}])))"
+# most characters are small letters, told first; what is a word of its own: a CJK character, and a sign but for apostrophes between letters
+SINGLE = r"(?![a-z ])([" + CJK + r"[^\s\p{L}\p{M}\p{N}\x27’]]|[\x27’](?:(?<![\p{L}\p{M}][\x27’])|(?![\p{L}\p{M}])))"
 
 # Ends are looked at by native string functions, so that no pattern runs over whole texts but the few that make words.
 # @docs: doc (any type), source, text.
