@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.urls import host_key, normalize_url
 from larkspur.llm import boilerplate, capping, language, mixing, packing, score_fusion, seen_keys, site_lines, tokens, truncation
+from larkspur.plans import duck
 from larkspur.session import checkpointed, table
 
 SCORES = {"bm25": 0, "page_rank": 6, "freshness": 8, "click_through_rate": 10}
@@ -72,7 +73,8 @@ def p3_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
     known = table(spark, sf_dir, "pages").select(normalize_url(F.col("url")).alias("key"))
     arrivals = table(spark, sf_dir, "frontier").select(normalize_url(F.col("url")).alias("key"), "seq")
-    return known, arrivals, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a shard holds about a million keys; no fewer shards than the session shuffles to
+    return known, arrivals, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known.count() // (1 << 20)))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,6 +248,11 @@ SELECT id, host FROM r WHERE rank <= cap
     "p3_hosts": f"""
 WITH p AS (SELECT id, any_value({_HOST}) AS host FROM pages WHERE status = 'ok' GROUP BY id)
 SELECT host, count(*) AS pages, CAST(least(count(*), greatest(3, floor(0.02 * (SELECT count(*) FROM p)))) AS BIGINT) AS kept FROM p GROUP BY host
+""",
+    "p4_found": f"""
+WITH f AS (SELECT seq, {duck.normalize_url('url')} AS key FROM frontier WHERE seq IS NOT NULL), p AS (SELECT DISTINCT {duck.normalize_url('url')} AS key FROM pages),
+k AS (SELECT key, min(seq) AS seq FROM f WHERE key IS NOT NULL GROUP BY key)
+SELECT DISTINCT f.seq FROM f JOIN k USING (key) WHERE f.seq > k.seq OR key IN (SELECT key FROM p WHERE key IS NOT NULL)
 """,
     "p7_found": f"""
 WITH p AS (SELECT id, any_value({_HOST}) AS host, any_value(content) AS content FROM pages WHERE content IS NOT NULL GROUP BY id),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.urls import host_key
 from larkspur.llm import boilerplate, capping, language, mixing, packing, queries, score_fusion, seen_keys, site_lines, text_bytes, tokens, truncation
-from larkspur.session import TABLES
+from larkspur.session import TABLES, scratch_path
 
 DATA = "/root/testdata/sf0.001"
 
@@ -109,6 +109,29 @@ def test_seen_is_brute_force(spark):
     assert seen_keys.seen_before(k, a.where("false"), 3).count() == 0
 
 
+def test_chains_persist_and_divide(spark):
+    rng = random.Random(13)
+    store = seen_keys.ChainStore(spark, scratch_path(spark, "chains"), shards=2, capacity=16, error=1e-6, keys_per_shard=60)
+    seen, at = set(), 0
+    for n in (100, 300, 300, 400):
+        rows = [(f"k{rng.randint(0, 700)}", at + i) for i in range(n)]
+        at += n
+        batch = spark.createDataFrame(rows, "key string, seq long").repartition(3)
+        before = store.state()
+        with pytest.raises(RuntimeError):
+            store.absorb(batch, before_publish=lambda: (_ for _ in ()).throw(RuntimeError("lost")))
+        assert store.state() == before
+        new = sorted(r.seq for r in store.absorb(batch).where("NOT seen").collect())
+        want = []
+        for key, seq in rows:
+            if key not in seen:
+                want.append(seq)
+            seen.add(key)
+        assert new == want
+    assert store.state()["keys"] == len(seen) and store.state()["shards"] == 8
+    assert store.absorb(spark.createDataFrame([], "key string, seq long")).count() == 0 and store.layers().select("shard").distinct().count() == store.state()["shards"] == 16
+
+
 # problem 5
 
 WORDS = {
