@@ -2,8 +2,11 @@
 
 Each language has a codeword; each bit of the code is a binary classifier over hashed byte 4-grams (naive Bayes log
 odds, languages weighted alike). A text's margins, one per bit, are decoded to the codeword with the least weighted logistic loss;
-bits that tell less in training weigh less. The confidence is the share of the best codeword in the softmax over all, and a
-text whose second codeword is about as near is flagged as ambiguous.
+bits that tell less in training weigh less. The confidence is the share of the codeword in the softmax over all, less what it lies beyond the farthest of the lines learnt from. A text whose second
+codeword is about as near, or whose nearest is farther than that of all but a thousandth of the lines learnt from (a language nobody has
+labelled), is flagged as ambiguous.
+
+The languages are those that the labels name: two-letter codes on enough rows (``languages``), not a closed list.
 
 The labels to learn from are the noisy ones of the table: up to ``per_label`` rows for each language (a bounded,
 documented sample, chosen by hash of the identifier). After a first fit the sample's lines are labelled anew by the model and
@@ -22,7 +25,6 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import text_bytes as tb
 
-LANGUAGES = ("de", "en", "es", "fr", "ja", "pt")
 BUCKET_BITS = 15
 CHUNK = 1 << 19
 SCALE = 4.0
@@ -76,6 +78,7 @@ class Model:
     table: np.ndarray
     code: np.ndarray
     bit_weight: np.ndarray
+    farthest: float = np.inf
 
     def margins(self, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return sums(self.table, ids, start, end)[:, : self.code.shape[1]] / np.maximum(end - start, 1)[:, None]
@@ -85,13 +88,12 @@ class Model:
         return np.stack([(self.bit_weight * np.logaddexp(0, -SCALE * c * margins)).sum(1) for c in self.code], 1)
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Best language (its number), confidence and whether it is ambiguous."""
+        """Best language (its number), the share of every language, and whether it is ambiguous."""
         loss = self.losses(margins)
-        p = np.exp(-(loss - loss.min(1, keepdims=True)))
-        p /= p.sum(1, keepdims=True)
-        best = loss.argmin(1)
-        two = np.sort(p, 1)[:, -2:]
-        return best, p[np.arange(len(p)), best], two[:, 0] > 0.5 * two[:, 1]
+        p = np.exp(loss.min(1, keepdims=True) - loss)
+        p /= p.sum(1, keepdims=True) * np.exp(np.maximum(loss.min(1, keepdims=True) - self.farthest, 0))
+        two = np.sort(p, 1)[:, -2:] if p.shape[1] > 1 else np.concatenate((np.zeros_like(p), p), 1)
+        return loss.argmin(1), p, (two[:, 0] > 0.5 * two[:, 1]) | (loss.min(1) > self.farthest)
 
 
 def fit(languages: tuple[str, ...], ids: np.ndarray, start: np.ndarray, end: np.ndarray, label: np.ndarray, refits: int = 1) -> Model:
@@ -119,37 +121,48 @@ def fit(languages: tuple[str, ...], ids: np.ndarray, start: np.ndarray, end: np.
             right = (code[label] * m > 0).mean(0)
             model.bit_weight = np.clip(2 * right - 1, 0.05, 1)
             label = model.decode(m)[0]
+            model.farthest = float(np.quantile(model.losses(m).min(1), 0.999))
     return model
 
 
-def labelled(docs: DataFrame, ident: str, text: str, label: Column, languages: tuple[str, ...], per_label: int) -> DataFrame:
+def languages(docs: DataFrame, label: Column, least_rows: int = 3, least_share: float = 0.005) -> dict[str, int]:
+    """The two-letter labels on at least ``least_rows`` rows and ``least_share`` of all labelled rows, by name, with their rows. Reads the label only."""
+    rows = docs.select(label.alias("_lang")).where(F.col("_lang").rlike("^[a-z][a-z]$")).groupBy("_lang").count().collect()  # at most 26 * 26 rows
+    total = sum(r["count"] for r in rows)
+    return {r._lang: r["count"] for r in sorted(rows) if r["count"] >= max(least_rows, least_share * total)}
+
+
+def labelled(docs: DataFrame, ident: str, text: str, label: Column, counts: dict[str, int], per_label: int) -> DataFrame:
     """At most about ``per_label`` rows per language whose label names it, chosen by hash of the identifier (columns ``text``, ``lang``)."""
-    rows = docs.withColumn("_lang", label).where(F.col("_lang").isin(*languages) & F.col(text).isNotNull())
-    counts = {r._lang: r["count"] for r in rows.groupBy("_lang").count().collect()}  # one row a language
+    rows = docs.withColumn("_lang", label).where(F.col("_lang").isin(*counts) & F.col(text).isNotNull())
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("_lang") == lang, F.lit(min(1.0, per_label / n))).otherwise(share)
     unit = F.pmod(F.xxhash64(F.lit(5), F.col(ident)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(unit < share).select(F.col(text).alias("text"), F.col("_lang").alias("lang")).limit(2 * per_label * len(languages))
+    return rows.where(unit < share).select(F.col(text).alias("text"), F.col("_lang").alias("lang")).limit(2 * per_label * len(counts))
 
 
-def train(docs: DataFrame, ident: str, text: str, label: Column, languages: tuple[str, ...] = LANGUAGES, per_label: int = 300, min_chars: int = 40) -> Model:
-    """Fit on the driver over the bounded sample (at most ``2 * per_label`` texts a language)."""
-    sample = labelled(docs, ident, text, label, languages, per_label).toArrow().combine_chunks()
-    column = sample.column("text").combine_chunks() if sample.num_rows else pa.array([], pa.string())
+def train(docs: DataFrame, ident: str, text: str, label: Column, per_label: int = 300, min_chars: int = 40) -> Model:
+    """Fit on the driver over the bounded sample (at most ``2 * per_label`` texts a language). Without any label all is of one unknown language, ``und``."""
+    counts = languages(docs, label)
+    names = tuple(counts) or ("und",)
+    sample = labelled(docs, ident, text, label, counts, per_label).toArrow().combine_chunks() if counts else None
+    n = sample.num_rows if counts else 0
+    column = sample.column("text").combine_chunks() if n else pa.array([], pa.string())
     raw, offsets = tb.utf8(column)
     found = tb.lines(raw, offsets)
     keep = found.chars >= min_chars
-    where = np.array([languages.index(x) for x in sample.column("lang").to_pylist()], np.int64)
-    return fit(languages, grams(raw), found.start[keep], found.end[keep], where[found.row[keep]] if sample.num_rows else np.zeros(0, np.int64))
+    where = np.array([names.index(x) for x in sample.column("lang").to_pylist()], np.int64) if n else np.zeros(0, np.int64)
+    return fit(names, grams(raw), found.start[keep], found.end[keep], where[found.row[keep]] if n else where)
 
 
 def detect(docs: DataFrame, ident: str, text: str, label: Column, model: Model, min_chars: int = 40) -> DataFrame:
     """One row per document (``line_no`` 0) and per counting line in another language than the document's.
 
     Columns: ``id, line_no, lang, confidence, ambiguous, given``; ``given`` is ``label``. A line counts from ``min_chars`` characters,
-    trimmed, and where each third of it alone is nearer to its language than to the document's; the document's language has the most characters in such lines (of equal ones the first by name) and its
-    confidence is its share of them. Documents without a counting line, or with a null text, are left out.
+    trimmed, and where each third of it alone is nearer to its language than to the document's; the document's language has the most characters in such lines (of equal ones the first by name). A line's
+    confidence is its language's share in the decoder, a document's the mean share of its language over its counting lines, by characters;
+    it is ambiguous if the lines that are make up half of it, or a second language has half as many characters. Documents without a counting line, or with a null text, are left out.
     """
     names = np.array(model.languages)
 
@@ -167,7 +180,7 @@ def detect(docs: DataFrame, ident: str, text: str, label: Column, model: Model,
             edges = [start + (end - start) * i // PARTS for i in range(PARTS + 1)]
             parts = sums(model.table, grams(raw), np.stack(edges[:-1], 1).ravel(), np.stack(edges[1:], 1).ravel())[:, : model.code.shape[1]]
             parts = parts.reshape(len(ok), PARTS, -1)
-            lang, conf, odd = model.decode(parts.sum(1) / np.maximum(end - start, 1)[:, None])
+            lang, shares, odd = model.decode(parts.sum(1) / np.maximum(end - start, 1)[:, None])
             per = np.zeros((b.num_rows, len(names)))
             np.add.at(per, (row, lang), chars)
             whole = per.sum(1)
@@ -180,14 +193,16 @@ def detect(docs: DataFrame, ident: str, text: str, label: Column, model: Model,
                 at = np.arange(len(other))
                 other = other[loss[at, lang[other]] < loss[at, best[row[other]]]]
             at = np.concatenate((docs_at, row[other]))
-            top2 = np.sort(per[docs_at], 1)[:, -2:]
+            top2 = np.sort(np.concatenate((per[docs_at], np.zeros((len(docs_at), 1))), 1), 1)[:, -2:]
+            sure = np.bincount(row, chars * shares[np.arange(len(row)), best[row]], b.num_rows)[docs_at] / whole[docs_at]
+            vague = np.bincount(row, chars * odd, b.num_rows)[docs_at] >= 0.5 * whole[docs_at]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("id").take(pa.array(at)),
                     pa.array(np.concatenate((np.zeros(len(docs_at), np.int32), number[other].astype(np.int32)))),
                     pa.array(np.concatenate((names[best[docs_at]], names[lang[other]])).astype(object), pa.string()),
-                    pa.array(np.concatenate((per[docs_at, best[docs_at]] / whole[docs_at], conf[other]))),
-                    pa.array(np.concatenate((top2[:, 0] > 0.5 * top2[:, 1], odd[other]))),
+                    pa.array(np.concatenate((sure, shares[other, lang[other]]))),
+                    pa.array(np.concatenate((vague | (top2[:, 0] > 0.5 * top2[:, 1]), odd[other]))),
                     b.column("given").take(pa.array(at)),
                 ],
                 names=["id", "line_no", "lang", "confidence", "ambiguous", "given"],

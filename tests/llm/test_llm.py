@@ -171,6 +171,21 @@ def test_language_held_out(spark):
     assert right > 0.98 and len(set(got) - set(truth)) < 0.02 * len(truth)
 
 
+def test_unknown_language_is_flagged_and_rare_labels_are_no_languages(spark):
+    rng = random.Random(12)
+    rows = [(f"p{i}", "\n".join(sentence(rng, lang) for _ in range(4)), lang) for i in range(300) for lang in [rng.choice(["de", "en", "fr"])]]
+    rows += [("odd", "\n".join("zxq vrrk 7 wjjx qqy kkzw pxv wwq jzzk xq yyk vvx kzq" for _ in range(3)), "it"), ("x1", rows[0][1], "english"), ("x2", rows[1][1], "jp"), ("x3", rows[2][1], None)]
+    df = spark.createDataFrame(rows, "id string, content string, language string")
+    label = language.first_subtag(F.col("language"))
+    assert set(language.languages(df, label)) == {"de", "en", "fr"}
+    got = {r.id: r for r in language.detect(df, "id", "content", label, language.train(df, "id", "content", label, per_label=60)).where("line_no = 0").collect()}
+    plain = [got[f"p{i}"] for i in range(300)]
+    sure = sorted(r.confidence for r in plain)
+    assert got["odd"].ambiguous and got["odd"].confidence < sure[0] and sum(r.ambiguous for r in plain) < 10 and sure[150] > 0.8, (got["odd"], sure[:3], sure[150])
+    none = language.train(df.where("false"), "id", "content", label)
+    assert none.languages == ("und",) and {r.lang for r in language.detect(df, "id", "content", label, none).collect()} == {"und"}
+
+
 def test_codewords_are_far_apart():
     for n in (2, 6, 14, 20):
         code = language.codewords(n)
