@@ -51,6 +51,8 @@ class Lines:
 def lines(raw: np.ndarray, offsets: np.ndarray) -> Lines:
     """Split at newlines; lines of white space only have 0 characters."""
     n = len(offsets) - 1
+    if n < 1:
+        return Lines(*[np.zeros(0, np.int64)] * 5)
     breaks = np.flatnonzero(raw == 10)
     owner = np.searchsorted(offsets, breaks, "right") - 1
     row = np.concatenate((np.arange(n), owner))
