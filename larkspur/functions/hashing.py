@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -101,6 +102,20 @@ def bands(simhash: Column) -> Column:
     return F.array(*[F.shiftrightunsigned(simhash, 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long")).cast("int") for i in range(4)])
 
 
+def blocks(simhash: Column, distance: int = 3) -> Column:
+    """Keys two hashes share one of at least if they differ in at most ``distance`` bits: all choices of three of ``distance + 3`` pieces of the hash.
+
+    Each differing bit spoils one piece, so three stay equal. A key has about half of the bits, so that few hashes share one by chance, however many there are.
+    """
+    n = distance + 3
+    edges = [64 * i // n for i in range(n + 1)]
+    out = []
+    for number, chosen in enumerate(combinations(range(n), 3)):
+        mask = sum((1 << edges[p + 1]) - (1 << edges[p]) for p in chosen)
+        out.append(F.struct(F.lit(number).alias("block"), simhash.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("bits")))
+    return F.array(*out)
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Number of differing bits."""
     return F.bit_count(a.bitwiseXOR(b))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.hashing import bands, hamming
+from larkspur.functions.hashing import blocks, hamming
 from larkspur.functions.urls import host_within, is_non_html, looks_like_trap, normalize_url, origin, url_host
 from larkspur.operators.ranking import ranked
 from larkspur.schema import DEFAULTS, Settings
@@ -84,16 +84,16 @@ def _near(pages: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
     """Distinct SimHashes ``simhash, at`` and their pairs ``x, xt, y`` within ``distance`` bits, ``x`` the earlier."""
     far = F.lit("9999-12-31").cast("timestamp")
     hashes = checkpointed(pages.where("simhash IS NOT NULL").groupBy("simhash").agg(F.min(F.coalesce("fetched_at", far)).alias("at")))
-    banded = hashes.select("simhash", "at", F.posexplode(bands(F.col("simhash"))).alias("band", "value"))
-    a, b = banded.select("band", "value", F.col("simhash").alias("x"), F.col("at").alias("xt")), banded.select("band", "value", F.col("simhash").alias("y"), F.col("at").alias("yt"))
-    near = a.join(b, ["band", "value"]).where((F.struct("xt", "x") < F.struct("yt", "y")) & (hamming(F.col("x"), F.col("y")) <= distance))
+    keyed = hashes.select("simhash", "at", F.inline(blocks(F.col("simhash"), distance)))
+    a, b = keyed.select("block", "bits", F.col("simhash").alias("x"), F.col("at").alias("xt")), keyed.select("block", "bits", F.col("simhash").alias("y"), F.col("at").alias("yt"))
+    near = a.join(b, ["block", "bits"]).where((F.struct("xt", "x") < F.struct("yt", "y")) & (hamming(F.col("x"), F.col("y")) <= distance))
     return hashes, checkpointed(near.select("x", "xt", "y").distinct())
 
 
 def near_duplicates(pages: DataFrame, distance: int = 3) -> DataFrame:
     """``simhash, original, bits``: SimHashes within ``distance`` bits of an earlier original one; ``original`` is its leader.
 
-    Works on distinct SimHashes, as pages that share one are one case; with four bands none of up to three bits is missed. An
+    Works on distinct SimHashes, as pages that share one are one case; no pair is missed (see ``blocks``). An
     earlier hash (by first fetch, then value) leads a later one; a hash is an original once all its earlier neighbours are known to be duplicates, and a
     duplicate once one of them is an original. Of several leaders the earliest counts. ``pages`` has ``simhash`` and ``fetched_at``.
     """

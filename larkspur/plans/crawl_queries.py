@@ -194,7 +194,23 @@ _CHANGES = "c AS (SELECT id, change_seq, status, version_hash, fetch_count, deli
 _NEW = "CASE WHEN {p} IS NULL OR isnan({p}) OR {p} <= 0 THEN 604800.0 ELSE {p} * {f} END"
 _INTERVAL = lambda f: "round(least(greatest(" + _NEW.format(p="revisit_interval", f=f) + ", 86400.0), 7776000.0), 6)"
 _PRIORITY = "CASE WHEN kind = 'sitemap' THEN -1 ELSE depth + 2 * retries END"
-_SQUEEZE = "trim(regexp_replace({x}, '" + duck.SPACES.replace("\\x{feff}", "") + "+', ' ', 'g'))"
+_SQUEEZE = lambda x: f"trim(regexp_replace({x}, '" + duck.SPACES.replace("\\x{feff}", "\\x{1c}-\\x{1f}") + "+', ' ', 'g'))"
+
+_FAR = "TIMESTAMPTZ '9999-12-31 00:00:00+00'"
+# robots.txt line by line: groups are numbered, those that name the agent hold, else those for all
+_RULES = f"""
+txt AS (SELECT origin, any_value(robots_txt) AS txt FROM hosts WHERE robots_txt IS NOT NULL GROUP BY origin),
+lines AS (SELECT origin, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT origin, list_transform(regexp_split_to_array(txt, '\\r\\n|\\n|\\r'), lambda l: split_part(l, '#', 1)) AS x FROM txt)),
+pairs AS (SELECT origin, i, lower(trim(split_part(line, ':', 1))) AS k, trim(regexp_extract(line, '(?s):(.*)$', 1)) AS v FROM lines WHERE contains(line, ':')),
+starts AS (SELECT *, k = 'user-agent' AND coalesce(lag(k) OVER (PARTITION BY origin ORDER BY i), '') <> 'user-agent' AS start FROM pairs),
+grouped AS (SELECT *, sum(CAST(start AS INTEGER)) OVER (PARTITION BY origin ORDER BY i) AS grp FROM starts),
+agents AS (SELECT origin, grp, bool_or(lower(v) = '{AGENT}') AS named, bool_or(v = '*') AS star FROM grouped WHERE k = 'user-agent' GROUP BY origin, grp),
+held AS (SELECT origin, grp FROM (SELECT *, bool_or(named) OVER (PARTITION BY origin) AS any_named FROM agents) WHERE CASE WHEN any_named THEN named ELSE star END),
+delays AS (SELECT origin, max(try_cast(v AS DOUBLE)) AS delay FROM grouped JOIN held USING (origin, grp) WHERE k = 'crawl-delay' GROUP BY origin),
+own AS (SELECT origin, k = 'allow' AS allow, v AS pattern FROM grouped JOIN held USING (origin, grp) WHERE k IN ('allow', 'disallow') AND v <> ''),
+maps AS (SELECT origin, string_agg(v, ' ' ORDER BY i) AS sitemaps FROM pairs WHERE k = 'sitemap' AND v <> '' GROUP BY origin),
+rules AS (SELECT origin, allow, pattern, delay, coalesce(sitemaps, '') AS sitemaps FROM txt LEFT JOIN own USING (origin) LEFT JOIN delays USING (origin) LEFT JOIN maps USING (origin))"""
+_PATTERN = r"'(?s)^' || replace(regexp_replace(regexp_replace(pattern, '\$$', ''), '([\\.^$+?()\[\]{}|])', '\\\1', 'g'), '*', '.*') || CASE WHEN ends_with(pattern, '$') THEN '$' ELSE '' END"
 
 ORACLE = {
     "revisit_interval": f"SELECT DISTINCT id, {_INTERVAL('0.5')} AS if_changed, {_INTERVAL('1.5')} AS if_same FROM pages",
@@ -223,6 +239,34 @@ SELECT id, headings, coalesce(o.n, 0) AS outgoing, coalesce(i.n, 0) AS incoming
     "exact_dups": """
 WITH p AS (SELECT id, any_value(content_hash) AS h, any_value(fetched_at) AS seen_at FROM pages WHERE content_hash IS NOT NULL GROUP BY id), f AS (SELECT *, first_value(id) OVER (PARTITION BY h ORDER BY seen_at NULLS LAST, id) AS original FROM p)
 SELECT id, original FROM f WHERE id <> original
+""",
+    # leaders one after the other in order of first fetch, as far as a hash has neighbours at all
+    "near_dups": f"""
+WITH RECURSIVE {duck.simhashes("SELECT doc_id, " + duck.tokens("text") + " AS t FROM (SELECT doc_id, any_value(text) AS text FROM documents WHERE text <> '' GROUP BY doc_id)", "doc_id")},
+d AS (SELECT doc_id, h, coalesce(fetched_at, {_FAR}) AS seen_at FROM sim JOIN (SELECT doc_id, any_value(fetched_at) AS fetched_at FROM documents GROUP BY doc_id) USING (doc_id)),
+g AS (SELECT h, min(seen_at) AS seen_at, count(*) AS copies, arg_min(doc_id, {{'a': seen_at, 'b': doc_id}}) AS leader FROM d GROUP BY h),
+near AS (SELECT x.h AS a, y.h AS b, y.copies AS copies FROM g x JOIN g y ON x.h <> y.h AND bit_count(xor(x.h, y.h)) <= 3),
+o AS (SELECT h, row_number() OVER (ORDER BY seen_at, {duck.signed('h')}) AS n FROM g WHERE h IN (SELECT a FROM near)),
+w(n, leads) AS (
+  SELECT 0::BIGINT, CAST([] AS UBIGINT[]) UNION ALL
+  SELECT o.n, CASE WHEN len(list_filter(leads, lambda l: bit_count(xor(l, h)) <= 3)) > 0 THEN leads ELSE list_append(leads, h) END FROM w JOIN o ON o.n = w.n + 1
+), fin AS (SELECT arg_max(leads, n) AS leads FROM w),
+c AS (SELECT h, leader, copies, coalesce(CASE WHEN h IN (SELECT a FROM near) THEN list_filter(leads, lambda l: bit_count(xor(l, h)) <= 3)[1] END, h) AS first FROM g, fin)
+SELECT doc_id, {duck.signed('d.h')} AS simhash, l.leader AS leader, CAST(bit_count(xor(d.h, c.first)) AS INTEGER) AS bits, CAST(c.copies - 1 + coalesce(r.around, 0) AS BIGINT) AS links
+FROM d JOIN c ON c.h = d.h JOIN g l ON l.h = c.first LEFT JOIN (SELECT a, sum(copies) AS around FROM near GROUP BY a) r ON r.a = d.h
+""",
+    "robots_rules": f"WITH {_RULES} SELECT origin, allow, pattern, delay, sitemaps FROM rules",
+    "robots_allowed": f"""
+WITH {_RULES}, u AS (SELECT DISTINCT {duck.normalize_url('url')} AS u FROM pages), p AS (SELECT DISTINCT regexp_extract(u, '^(https?://[^/?#]+)', 1) AS origin, regexp_replace(u, '^https?://[^/]+', '') AS path FROM u WHERE u IS NOT NULL),
+r AS (SELECT origin AS o, allow, pattern, {_PATTERN} AS regex FROM rules WHERE pattern IS NOT NULL),
+h AS (SELECT origin, path, max(CASE WHEN regexp_matches(path, regex) THEN 2 * length(pattern) + CAST(allow AS INTEGER) END) AS best FROM p LEFT JOIN r ON r.o = origin GROUP BY origin, path)
+SELECT origin, path, path = '/robots.txt' OR coalesce(best % 2 = 1, true) AS allowed FROM h
+""",
+    "politeness_delay": f"WITH {_RULES} SELECT origin, {', '.join(f'round(least(least(greatest(1.0, coalesce(delay, 0.0)), 30.0) * {x}.0, 30.0), 6) AS {n}' for n, x in (('plain', 1), ('failed', 4), ('busy', 8)))} FROM (SELECT DISTINCT origin, delay FROM rules)",
+    "html_extract": f"""
+WITH p AS (SELECT url, any_value(title) AS title, any_value(content) AS content, any_value(language) AS language FROM pages WHERE url IS NOT NULL GROUP BY url)
+SELECT url, {_SQUEEZE("coalesce(title, '')")} AS title, coalesce(language, '') AS language, CAST({_SQUEEZE("coalesce(title, '')")} <> '' AS BIGINT) AS headings,
+  md5(substring({_SQUEEZE("coalesce(title, '') || ' ' || coalesce(content, '')")}, 1, 50000)) AS content, CAST({duck.normalize_url('url')} IS NOT NULL AS BIGINT) AS links FROM p
 """,
     "frontier_pick": f"""
 WITH f AS (SELECT origin, url, seq, next_allowed_at, {_PRIORITY} AS priority FROM frontier WHERE origin IS NOT NULL AND url IS NOT NULL),
@@ -235,7 +279,7 @@ SELECT url, min(seq) AS seq, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS or
 """,
     "frontier_stats": f"WITH o AS (SELECT origin, count(*) AS n, max(next_allowed_at) AS seen_at FROM (SELECT DISTINCT * FROM frontier) WHERE origin IS NOT NULL GROUP BY origin) SELECT count(*) AS origins, count(*) FILTER (WHERE seen_at IS NULL OR seen_at <= {NOW_SQL}) AS ready, CAST(coalesce(sum(n), 0) AS BIGINT) AS queued FROM o",
     "fetch_dispatch": "SELECT event_id, CASE WHEN s BETWEEN 200 AND 299 THEN 'parse' WHEN s = 304 THEN 'touch' WHEN s BETWEEN 300 AND 399 THEN 'redirect' WHEN s = 429 OR s >= 500 THEN 'retry' ELSE 'gone' END AS outcome, s BETWEEN 300 AND 399 AND s <> 304 AS redirect FROM (SELECT event_id, CAST(200 + (event_id * 37) % 350 AS INTEGER) AS s FROM events)",
-    "retry_queue": "SELECT seq, CAST(retries + 1 AS BIGINT) AS retries, CAST(CASE WHEN kind = 'sitemap' THEN -1 ELSE depth + 2 * (retries + 1) END AS BIGINT) AS priority FROM (SELECT DISTINCT seq, retries, depth, kind FROM frontier WHERE seq % 5 = 0) WHERE retries < 3",
+    "retry_queue": "SELECT seq, CAST(retries + 1 AS BIGINT) AS retries, CAST(CASE WHEN kind = 'sitemap' THEN -1 ELSE depth + 2 * (retries + 1) END AS BIGINT) AS priority FROM (SELECT DISTINCT seq, retries, depth, kind FROM frontier) WHERE retries < 3",
     "crawl_counters": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "active_workers": "SELECT user_id FROM events GROUP BY user_id HAVING max(ts) > (SELECT max(ts) FROM events) - INTERVAL 1 DAY",
     "sitemap_urls": f"SELECT DISTINCT {_H} AS host, {duck.trim('url')} AS url, false AS is_index FROM (SELECT DISTINCT host, url FROM pages WHERE url IS NOT NULL)",

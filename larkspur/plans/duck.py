@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from larkspur.functions.hashing import FNV_OFFSET, FNV_PRIME, MIX_A, MIX_ADD, MIX_B
 from larkspur.functions.text import FROM, STOP_WORDS, TO
 from larkspur.functions.urls import TRACKING
 
@@ -68,3 +69,46 @@ def url_path(x: str) -> str:
 
 def url_text(x: str) -> str:
     return f"translate(coalesce({url_host(x)}, '') || {url_path(x)}, '/-_.', '    ')"
+
+
+U64 = "18446744073709551616::UHUGEINT"
+
+
+def let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to a value that is computed once."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def fnv(x: str, seed: int = FNV_OFFSET) -> str:
+    """FNV-1a 64 of a text as UHUGEINT."""
+    byte = f"('0x' || substring(hex(encode({x})), CAST(2 * i - 1 AS BIGINT), 2))::INTEGER::UHUGEINT"
+    return f"list_reduce(list_prepend({seed}::UHUGEINT, list_transform(range(1, octet_length(encode({x})) + 1), lambda i: {byte})), lambda h, b: (xor(h, b) * {FNV_PRIME}::UHUGEINT) % {U64})"
+
+
+def mix(x: str) -> str:
+    """SplitMix64 finaliser of an UHUGEINT; products of two 64-bit numbers in halves, so that 128 bits suffice."""
+    half = "4294967296::UHUGEINT"
+    times = lambda z, c: f"((({z} // {half}) * {c}::UHUGEINT % {half}) * {half} + ({z} % {half}) * {c}::UHUGEINT) % {U64}"
+    last = let(times("e", MIX_B), "g", f"xor(g, g // {1 << 31}::UHUGEINT)")
+    third = let(times("c", MIX_A), "d", let(f"xor(d, d // {1 << 27}::UHUGEINT)", "e", last))
+    return let(f"({x} + {MIX_ADD}::UHUGEINT) % {U64}", "z", let(f"xor(z, z // {1 << 30}::UHUGEINT)", "c", third))
+
+
+def signed(z: str) -> str:
+    """An unsigned 64-bit number as the signed one of the same bits."""
+    return f"CAST(CASE WHEN {z} >= 9223372036854775808 THEN CAST({z} AS HUGEINT) - 18446744073709551616::HUGEINT ELSE CAST({z} AS HUGEINT) END AS BIGINT)"
+
+
+def shard(url: str, shards: int) -> str:
+    """Shard of an URL."""
+    return f"CAST({mix(fnv(url))} % 1024::UHUGEINT % {shards}::UHUGEINT AS INTEGER)"
+
+
+def simhashes(texts: str, ident: str) -> str:
+    """CTEs after which ``sim`` has ``ident`` and ``h`` (UBIGINT, 0 without tokens); ``texts`` selects ``ident`` and ``t``, a list of tokens."""
+    return f"""
+tk AS MATERIALIZED ({texts}),
+sh AS MATERIALIZED (SELECT {ident}, unnest(list_transform(range(1, greatest(len(t) - 2, 1) + 1), lambda i: array_to_string(t[i:i + 2], ' '))) AS s FROM tk WHERE len(t) > 0),
+hs AS MATERIALIZED (SELECT s, CAST({mix(fnv('s'))} AS UBIGINT) AS h FROM (SELECT DISTINCT s FROM sh)),
+votes AS (SELECT {ident}, b, count(*) AS n, sum(CAST((h >> b::UBIGINT) & 1::UBIGINT AS INTEGER)) AS ones FROM sh JOIN hs USING (s), (SELECT unnest(range(0, 64)) AS b) GROUP BY {ident}, b),
+sim AS MATERIALIZED (SELECT {ident}, CAST(coalesce(v, 0) AS UBIGINT) AS h FROM tk LEFT JOIN (SELECT {ident}, sum(CASE WHEN 2 * ones > n THEN CAST(1::UBIGINT << b::UBIGINT AS HUGEINT) ELSE 0 END) AS v FROM votes GROUP BY {ident}) USING ({ident}))"""

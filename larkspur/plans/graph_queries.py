@@ -9,8 +9,6 @@ from larkspur.operators import crawl, graph
 from larkspur.plans import duck
 from larkspur.session import table
 
-ITERATIONS = 8  # depth of the SQL; the queries go on until the ranks stand
-
 
 def _page_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return graph.page_graph(table(spark, sf_dir, "pages").select("url", "status"), table(spark, sf_dir, "links").select("source_url", "target_url"))
@@ -37,10 +35,17 @@ def hostrank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Host ranks that differ from the stored ones."""
-    stored = table(spark, sf_dir, "hosts").groupBy(graph.host_key(F.col("host")).alias("id")).agg(F.max("host_rank").alias("old_rank"))
-    new = graph.pagerank(*_host_graph(spark, sf_dir))
-    return graph.changed_ranks(stored, new).select("id", F.round("rank", 12).alias("rank"))
+    """Page ranks to write back: those that differ from the stored ones."""
+    nodes, edges = _page_graph(spark, sf_dir)
+    stored = table(spark, sf_dir, "pages").where("status <> 'gone' AND url IS NOT NULL").groupBy(F.col("url").alias("id")).agg(F.max(F.when(~F.isnan("page_rank"), F.col("page_rank"))).alias("old_rank"))
+    return graph.changed_ranks(stored, graph.pagerank(nodes, edges)).select("id", F.round("rank", 12).alias("rank"))
+
+
+def host_rank_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the hosts with the rank of its host."""
+    hosts = table(spark, sf_dir, "hosts").select("id", "origin", graph.host_key(F.col("host")).alias("host")).distinct()
+    ranks = graph.pagerank(*_host_graph(spark, sf_dir)).select(F.col("id").alias("host"), F.round("rank", 12).alias("host_rank"))
+    return hosts.join(ranks, "host", "left").select("id", "origin", "host_rank")
 
 
 def out_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +58,7 @@ def in_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.neighbours(table(spark, sf_dir, "links"), "target_url")
 
 
-QUERIES = {f.__name__: f for f in (edge_degrees, pagerank, hostrank, rank_writeback, out_links, in_links)}
+QUERIES = {f.__name__: f for f in (edge_degrees, pagerank, hostrank, rank_writeback, host_rank_writeback, out_links, in_links)}
 
 _PAGES = """
 nodes AS MATERIALIZED (SELECT DISTINCT url AS id FROM pages WHERE status <> 'gone' AND url IS NOT NULL),
@@ -64,14 +69,18 @@ pairs AS (SELECT DISTINCT {duck.host_key('source_host')} AS src, {duck.host_key(
 edges AS MATERIALIZED (SELECT src, dst FROM pairs WHERE src <> dst AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes))"""
 
 
-def _ranks(graph_sql: str, iterations: int) -> str:
-    steps = ["r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank, coalesce(d.n, 0) AS deg FROM nodes LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY src) d ON d.src = id)"]
-    for i in range(iterations):
-        steps.append(
-            f"r{i + 1} AS MATERIALIZED (SELECT r.id, 0.15 / (SELECT count(*) FROM nodes) + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE deg = 0) / (SELECT count(*) FROM nodes) + 0.85 * coalesce(g.got, 0) AS rank, r.deg "
-            f"FROM r{i} r LEFT JOIN (SELECT e.dst, sum(s.rank / s.deg) AS got FROM edges e JOIN r{i} s ON s.id = e.src GROUP BY e.dst) g ON g.dst = r.id)"
-        )
-    return f"WITH {graph_sql}, " + ", ".join(steps)
+def _ranks(graph_sql: str) -> str:
+    """Power iteration that stops as the query does; ``ranks`` has the last step."""
+    return f"""
+WITH RECURSIVE {graph_sql}, size AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM nodes),
+step(i, id, rank, deg, delta) AS (
+  SELECT 0, id, 1.0::DOUBLE / n, coalesce(d.out, 0), 1.0::DOUBLE FROM nodes LEFT JOIN (SELECT src, count(*) AS out FROM edges GROUP BY src) d ON d.src = id, size
+  UNION ALL
+  SELECT i + 1, id, new, deg, sum(abs(new - rank)) OVER () FROM (
+    SELECT s.i, s.id, s.rank, s.deg, s.delta, 0.15 / n + 0.85 * coalesce(sum(CASE WHEN s.deg = 0 THEN s.rank END) OVER (), 0) / n + 0.85 * coalesce(g.got, 0) AS new
+    FROM step s LEFT JOIN (SELECT e.dst, sum(o.rank / o.deg) AS got FROM edges e JOIN step o ON o.id = e.src GROUP BY e.dst) g ON g.dst = s.id, size
+  ) WHERE i < 100 AND delta >= 1e-9
+), ranks AS (SELECT id, rank FROM step WHERE i = (SELECT max(i) FROM step))"""
 
 
 def _links(side: str) -> str:
@@ -83,10 +92,12 @@ SELECT id, source_url, target_url, anchor_text FROM (
 
 ORACLE = {
     "edge_degrees": f"WITH {_PAGES} SELECT id, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree FROM nodes LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY 1) o ON o.src = id LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY 1) i ON i.dst = id",
-    "pagerank": _ranks(_PAGES, ITERATIONS) + f" SELECT id, round(rank, 12) AS rank FROM r{ITERATIONS}",
-    "hostrank": _ranks(_HOSTS, ITERATIONS) + f" SELECT id, round(rank, 12) AS rank FROM r{ITERATIONS}",
-    "rank_writeback": _ranks(_HOSTS, 2)
-    + f", old AS (SELECT {duck.host_key('host')} AS id, max(host_rank) AS old FROM hosts GROUP BY 1) SELECT id, round(rank, 12) AS rank FROM r2 JOIN old USING (id) WHERE old IS NULL OR isnan(old) OR abs(rank - old) > 1e-12",
+    "pagerank": _ranks(_PAGES) + " SELECT id, round(rank, 12) AS rank FROM ranks",
+    "hostrank": _ranks(_HOSTS) + " SELECT id, round(rank, 12) AS rank FROM ranks",
+    "rank_writeback": _ranks(_PAGES)
+    + ", old AS (SELECT url AS id, max(CASE WHEN NOT isnan(page_rank) THEN page_rank END) AS old FROM pages WHERE status <> 'gone' AND url IS NOT NULL GROUP BY 1) SELECT id, round(rank, 12) AS rank FROM ranks JOIN old USING (id) WHERE old IS NULL OR abs(rank - old) > 1e-12",
+    "host_rank_writeback": _ranks(_HOSTS)
+    + f" SELECT h.id AS id, origin, round(rank, 12) AS host_rank FROM (SELECT DISTINCT id, origin, {duck.host_key('host')} AS host FROM hosts) h LEFT JOIN ranks r ON r.id = h.host",
     "out_links": _links("source_url"),
     "in_links": _links("target_url"),
 }

@@ -69,8 +69,8 @@ def url_hash_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bloom_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bloom positions of page addresses."""
-    return table(spark, sf_dir, "pages").select("id", "url").where("url IS NOT NULL").distinct().select("id", hashing.bloom_positions(1 << 20)("url").alias("positions"))
+    """The seven positions of page addresses in a filter of 2^30 bits."""
+    return table(spark, sf_dir, "pages").select("id", "url").where("url IS NOT NULL").distinct().select("id", F.array_join(hashing.bloom_positions()("url"), " ").alias("positions"))
 
 
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     # written first: one Arrow step inside another's argument cannot be planned
     rows = written(table(spark, sf_dir, "documents").select("doc_id", text.tokenize(F.coalesce("text", F.lit(""))).alias("t")), "tokens")
     rows = rows.select("doc_id", hashing.simhash_of("t").alias("simhash"))
-    return rows.select("doc_id", "simhash", hashing.bands(F.col("simhash")).alias("bands"))
+    return rows.select("doc_id", "simhash", F.array_join(hashing.bands(F.col("simhash")), " ").alias("bands"))
 
 
 QUERIES = {
@@ -95,8 +95,7 @@ QUERIES = {
 _CAMEL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(\\p{{Ll}})(\\p{{Lu}})', '\\1 \\2', 'g'), '(\\p{{Lu}})(\\p{{Lu}}\\p{{Ll}})', '\\1 \\2', 'g'), '(\\p{{L}})(\\p{{N}})', '\\1 \\2', 'g'), '(\\p{{N}})(\\p{{L}})', '\\1 \\2', 'g')"
 _URLS = f"u AS (SELECT DISTINCT seq, depth, {duck.normalize_url('url')} AS url FROM (SELECT DISTINCT url, seq, depth FROM frontier))"
 _SEGMENTS = f"list_filter(string_split({duck.url_path('url')}, '/'), lambda s: s <> '')"
-_U64 = "18446744073709551616"
-_FNV = f"list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, octet_length(encode(url)) + 1), lambda i: ('0x' || substring(hex(encode(url)), CAST(2 * i - 1 AS BIGINT), 2))::INTEGER::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % {_U64}::UHUGEINT)"
+
 
 ORACLE = {
     "tokenize": f"SELECT doc_id, CAST(CASE WHEN t IS NULL THEN NULL ELSE len(t) END AS BIGINT) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {duck.tokens('text')} AS t FROM documents)",
@@ -107,16 +106,17 @@ ORACLE = {
     "url_normalize": f"WITH {_URLS} SELECT seq, url FROM u",
     "url_parts": f"WITH {_URLS} SELECT seq, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, {duck.url_host('url')} AS host, CAST(len({_SEGMENTS}) AS BIGINT) AS path_depth, {duck.url_text('url')} AS words FROM u WHERE url IS NOT NULL",
     "url_hash_bucket": f"""
-WITH p AS (SELECT DISTINCT id, url FROM pages WHERE url IS NOT NULL), f AS (SELECT id, {_FNV} AS h FROM p),
-a AS (SELECT id, (h + 11400714819323198485::UHUGEINT) % {_U64}::UHUGEINT AS z FROM f),
--- products of two 64-bit numbers, in halves so that 128 bits suffice
-b AS (SELECT id, xor(z, z // 1073741824::UHUGEINT) AS z FROM a),
-c AS (SELECT id, (((z // 4294967296::UHUGEINT) * 13787848793156543929::UHUGEINT % 4294967296::UHUGEINT) * 4294967296::UHUGEINT + (z % 4294967296::UHUGEINT) * 13787848793156543929::UHUGEINT) % {_U64}::UHUGEINT AS z FROM b),
-d AS (SELECT id, xor(z, z // 134217728::UHUGEINT) AS z FROM c),
-e AS (SELECT id, (((z // 4294967296::UHUGEINT) * 10723151780598845931::UHUGEINT % 4294967296::UHUGEINT) * 4294967296::UHUGEINT + (z % 4294967296::UHUGEINT) * 10723151780598845931::UHUGEINT) % {_U64}::UHUGEINT AS z FROM d),
-g AS (SELECT id, xor(z, z // 2147483648::UHUGEINT) AS z FROM e)
-SELECT id, CAST(CASE WHEN z >= 9223372036854775808::UHUGEINT THEN CAST(z AS HUGEINT) - 18446744073709551616::HUGEINT ELSE CAST(z AS HUGEINT) END AS BIGINT) AS hash,
-  CAST(z % 1024::UHUGEINT AS INTEGER) AS bucket, CAST(z % 2::UHUGEINT AS INTEGER) AS shard FROM g
+WITH g AS (SELECT id, {duck.mix(duck.fnv('url'))} AS z FROM (SELECT DISTINCT id, url FROM pages WHERE url IS NOT NULL))
+SELECT id, {duck.signed('z')} AS hash, CAST(z % 1024::UHUGEINT AS INTEGER) AS bucket, CAST(z % 2::UHUGEINT AS INTEGER) AS shard FROM g
+""",
+    "bloom_positions": f"""
+WITH g AS (SELECT id, {duck.mix(duck.fnv('url'))} AS a, {duck.mix(duck.fnv('url', hashing.SECOND_SEED))} AS b FROM (SELECT DISTINCT id, url FROM pages WHERE url IS NOT NULL)),
+o AS (SELECT id, a, CASE WHEN b % 2::UHUGEINT = 0::UHUGEINT THEN b + 1::UHUGEINT ELSE b END AS b FROM g)
+SELECT id, array_to_string(list_transform(range(0, 7), lambda i: CAST((a + i::UHUGEINT * b) % {duck.U64} % 1073741824::UHUGEINT AS BIGINT)), ' ') AS positions FROM o
+""",
+    "simhash": f"""
+WITH {duck.simhashes('SELECT doc_id, ' + duck.tokens("coalesce(text, '')") + ' AS t FROM documents', 'doc_id')}
+SELECT doc_id, {duck.signed('h')} AS simhash, array_to_string(list_transform(range(0, 4), lambda i: CAST((h >> (16 * i)::UBIGINT) & 65535::UBIGINT AS INTEGER)), ' ') AS bands FROM sim
 """,
     "crawl_scope": f"""
 WITH {_URLS}, s AS (SELECT *, {_SEGMENTS} AS parts, regexp_extract(url, '\\?([^#]*)', 1) AS q, {duck.url_host('url')} AS host, lower(regexp_extract({duck.url_path('url')}, '[^/]\\.([^./]+)/?$', 1)) AS ext FROM u),
