@@ -46,6 +46,33 @@ def due(pages: DataFrame, now: datetime, limit: int = 5000) -> DataFrame:
     return rows.orderBy("next_crawl_at", "id").limit(limit)
 
 
+def pushed(interval: Column, now: datetime, settings: Settings = DEFAULTS) -> Column:
+    """When a page that was queued is due again unless its fetch says otherwise: its interval later, so that it is not queued twice."""
+    seconds = F.when(interval.isNull() | F.isnan(interval) | (interval <= 0), F.lit(settings.initial_interval)).otherwise(interval)
+    return F.timestamp_micros(F.unix_micros(F.lit(now).cast("timestamp")) + F.round(seconds * 1e6).cast("long"))
+
+
+def scope_hosts(seeds: DataFrame, configured: list[str]) -> DataFrame:
+    """``domain``: the hosts of the enabled seeds and the configured ones. Read anew for each batch, so that a new seed counts from the next on."""
+    mine = seeds.where("enabled").select(url_host(normalize_url(F.col("url"))).alias("domain")).where("domain IS NOT NULL")
+    return mine.unionByName(seeds.sparkSession.createDataFrame([(d,) for d in configured], "domain string")).distinct()
+
+
+def within_hosts(rows: DataFrame, host: str, domains: DataFrame) -> DataFrame:
+    """Rows whose host is one of the domains or a subdomain: a host is split into its suffixes, which meet the domains in an equi-join, however many there are."""
+    hosts = rows.select(F.col(host).alias("_host")).where("_host IS NOT NULL").distinct().withColumn("_parts", F.split("_host", "[.]"))
+    inside = hosts.select("_host", F.explode(F.transform(F.sequence(F.lit(1), F.size("_parts")), lambda i: F.array_join(F.slice("_parts", i, F.size("_parts")), "."))).alias("domain"))
+    ok = inside.join(domains, "domain", "left_semi").select("_host").distinct()
+    return rows.join(ok, rows[host] == ok["_host"], "left_semi")
+
+
+def active(beats: DataFrame, worker: str, at: str, timeout: float = 30.0, now: datetime | None = None) -> DataFrame:
+    """``worker, seen``: workers whose last sign of life is less than ``timeout`` seconds old at ``now``, by default the time of the last of all."""
+    last = beats.where(F.col(worker).isNotNull()).groupBy(F.col(worker).alias("worker")).agg(F.max(at).alias("seen"))
+    end = beats.agg(F.max(at).alias("_end")) if now is None else beats.sparkSession.range(1).select(F.lit(now).cast("timestamp").alias("_end"))
+    return last.join(end, how="cross").where(F.unix_micros("seen") > F.unix_micros("_end") - int(timeout * 1e6)).select("worker", "seen")  # one row of end
+
+
 def purged(pages: DataFrame, links: DataFrame, now: datetime, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """Pages that were gone for longer than ``purge_after``, and the links that go with them."""
     limit = F.timestamp_micros(F.unix_micros(F.lit(now).cast("timestamp")) - int(settings.purge_after * 1e6))

@@ -137,30 +137,12 @@ def politeness_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("origin", *[F.round(crawl.politeness(F.col("delay"), F.lit(float(x))), 6).alias(n) for n, x in (("plain", 1), ("failed", 4), ("busy", 8))])
 
 
-def fetch_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What follows from fetch results; the events stand for fetches, their values for status codes."""
-    e = table(spark, sf_dir, "events").select("event_id", (F.lit(200) + F.pmod(F.col("event_id") * 37, F.lit(350))).cast("int").alias("status"))
-    return e.select("event_id", web.outcome(F.col("status")).alias("outcome"), web.is_redirect(F.col("status")).alias("redirect"))
-
-
 def retry_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries to be tried again, with one retry more, up to three: all of the frontier that have retries left."""
     rows = table(spark, sf_dir, "frontier").select("seq", "retries", "depth", "kind").distinct()
     return rows.where(F.col("retries") < 3).select("seq", (F.col("retries") + 1).cast("long").alias("retries"), crawl.priority(F.col("kind"), F.col("depth"), F.col("retries") + 1).cast("long").alias("priority"))
 
 
-def crawl_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by kind."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-def active_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Workers (here users) whose last sign of life is no more than a day before the last of all."""
-    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("seen"))
-    end = last.agg(F.max("seen").alias("end"))
-    return last.join(end, how="cross").where(F.col("seen") > F.col("end") - F.expr("INTERVAL 1 DAY")).select("user_id")  # one row of end
-
-
 def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses of a sitemap made from each host's first pages, read back."""
     rows = table(spark, sf_dir, "pages").select(host_key(F.col("host")).alias("host"), "url").where("url IS NOT NULL").distinct()
@@ -185,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         revisit_interval, due_pages, purge_gone, host_page_cap, host_page_count, latest_version, incremental_refresh, status_counts, pages_list, page_detail, exact_dups, near_dups, frontier_pick,
-        frontier_dedupe, frontier_stats, robots_rules, robots_allowed, politeness_delay, fetch_dispatch, retry_queue, crawl_counters, active_workers, sitemap_urls, html_extract,
+        frontier_dedupe, frontier_stats, robots_rules, robots_allowed, politeness_delay, retry_queue, sitemap_urls, html_extract,
     )
 }
 
@@ -278,9 +260,6 @@ WITH f AS (SELECT {duck.normalize_url('url')} AS url, seq FROM frontier), p AS (
 SELECT url, min(seq) AS seq, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin FROM f WHERE url IS NOT NULL AND seq IS NOT NULL AND url NOT IN (SELECT url FROM p WHERE url IS NOT NULL) GROUP BY url
 """,
     "frontier_stats": f"WITH o AS (SELECT origin, count(*) AS n, max(next_allowed_at) AS seen_at FROM (SELECT DISTINCT * FROM frontier) WHERE origin IS NOT NULL GROUP BY origin) SELECT count(*) AS origins, count(*) FILTER (WHERE seen_at IS NULL OR seen_at <= {NOW_SQL}) AS ready, CAST(coalesce(sum(n), 0) AS BIGINT) AS queued FROM o",
-    "fetch_dispatch": "SELECT event_id, CASE WHEN s BETWEEN 200 AND 299 THEN 'parse' WHEN s = 304 THEN 'touch' WHEN s BETWEEN 300 AND 399 THEN 'redirect' WHEN s = 429 OR s >= 500 THEN 'retry' ELSE 'gone' END AS outcome, s BETWEEN 300 AND 399 AND s <> 304 AS redirect FROM (SELECT event_id, CAST(200 + (event_id * 37) % 350 AS INTEGER) AS s FROM events)",
     "retry_queue": "SELECT seq, CAST(retries + 1 AS BIGINT) AS retries, CAST(CASE WHEN kind = 'sitemap' THEN -1 ELSE depth + 2 * (retries + 1) END AS BIGINT) AS priority FROM (SELECT DISTINCT seq, retries, depth, kind FROM frontier) WHERE retries < 3",
-    "crawl_counters": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
-    "active_workers": "SELECT user_id FROM events GROUP BY user_id HAVING max(ts) > (SELECT max(ts) FROM events) - INTERVAL 1 DAY",
     "sitemap_urls": f"SELECT DISTINCT {_H} AS host, {duck.trim('url')} AS url, false AS is_index FROM (SELECT DISTINCT host, url FROM pages WHERE url IS NOT NULL)",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from larkspur.functions.hashing import FNV_OFFSET, FNV_PRIME, MIX_A, MIX_ADD, MIX_B
 from larkspur.functions.text import FROM, STOP_WORDS, TO
-from larkspur.functions.urls import TRACKING
+from larkspur.functions.urls import NON_HTML, TRACKING
 
 CJK = r"\x{3041}-\x{309F}\x{30A0}-\x{30FA}\x{30FC}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3005}\x{3006}"
 SPACES = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -71,6 +71,17 @@ def url_text(x: str) -> str:
     return f"translate(coalesce({url_host(x)}, '') || {url_path(x)}, '/-_.', '    ')"
 
 
+def in_scope(url: str, depth: str) -> str:
+    """Whether a normalised URL may be crawled, without lists of hosts."""
+    parts = f"list_filter(string_split({url_path(url)}, '/'), lambda s: s <> '')"
+    query = rf"regexp_extract({url}, '\?([^#]*)', 1)"
+    ext = rf"lower(regexp_extract({url_path(url)}, '[^/]\.([^./]+)/?$', 1))"
+    most = f"coalesce(list_max(list_transform({parts}, lambda a: len(list_filter({parts}, lambda b: b = a)))), 0)"
+    trap = f"(len({parts}) > 20 OR {most} > 3 OR ({query} <> '' AND len(string_split({query}, '&')) > 10))"
+    files = "', '".join(NON_HTML)
+    return f"coalesce({url} IS NOT NULL AND {depth} <= 10 AND octet_length(encode({url})) <= 2048 AND NOT {trap} AND {ext} NOT IN ('{files}'), false)"
+
+
 U64 = "18446744073709551616::UHUGEINT"
 
 

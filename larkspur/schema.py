@@ -49,6 +49,18 @@ class Settings:
     max_depth: int = 10
     max_url_bytes: int = 2048
     overlap: float = 2.0
+    anchor_chars: int = 200
+    query_chars: int = 200
+    max_pages_per_host: int = 50_000
+    max_queue_per_host: int = 100_000
+    lease: float = 60.0
+    robots_ttl: float = 86_400.0
+    robots_error_ttl: float = 3_600.0
+    sitemaps_per_host: int = 10
+    urls_per_sitemap: int = 50_000
+    training_days: int = 30
+    minimum_pairs: int = 1_000
+    max_segments: int = 8
 
 
 DEFAULTS = Settings()
