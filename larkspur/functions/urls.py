@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 TRACKING = ["fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src"]
 
 # File endings that are never HTML.
-NON_HTML = (
-    "png jpg jpeg gif webp svg ico bmp avif pdf zip gz tar dmg pkg ipa exe mp3 mp4 mov m4a wav webm css js json xml rss atom txt woff woff2 ttf otf"
-).split()
+NON_HTML = [
+    "png", "jpg", "jpeg", "gif", "webp", "svg", "ico", "bmp", "avif", "pdf", "zip", "gz", "tar", "dmg", "pkg", "ipa", "exe", "mp3", "mp4", "mov", "m4a", "wav", "webm", "css", "js", "json", "xml", "rss", "atom", "txt",
+    "woff", "woff2", "ttf", "otf",
+]
 
 SPACES = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 WEB = "(?is)^(https?)://([^/?#]*)([^?#]*)(?:\\?([^#]*))?(?:#.*)?$"

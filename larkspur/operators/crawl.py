@@ -164,6 +164,18 @@ def near_duplicate_pages(pages: DataFrame, ident: str, distance: int = 3) -> Dat
     return rows.select(ident, "simhash").join(classes, "simhash").select(ident, "simhash", "leader", "bits", "links")
 
 
+def duplicate_member(simhash: Column, url: Column) -> Column:
+    """SimHash (16 hexadecimal digits) and URL as one text."""
+    return F.concat(F.lpad(F.lower(F.hex(simhash)), 16, "0"), F.lit("|"), url)
+
+
+def parsed_member(member: Column) -> tuple[Column, Column]:
+    """SimHash and URL of such a text; nulls if it is none."""
+    ok = member.rlike("^[0-9a-f]{16}[|]")
+    half = lambda at: F.conv(F.substring(member, at, 8), 16, 10).cast("long")
+    return F.when(ok, F.shiftleft(half(1), 32).bitwiseOR(half(9))), F.when(ok, F.substr(member, F.lit(18)))
+
+
 def frontier_new(frontier: DataFrame, pages: DataFrame) -> DataFrame:
     """``url, seq, origin, depth, retries, kind``: the first arrival of each web URL that no page has, URLs normalised."""
     rows = frontier.select(normalize_url(F.col("url")).alias("url"), "seq", "depth", "retries", "kind").where("url IS NOT NULL AND seq IS NOT NULL")

@@ -17,6 +17,7 @@ NOW = datetime(2026, 4, 1, tzinfo=timezone.utc)
 NOW_SQL = "TIMESTAMPTZ '2026-04-01 00:00:00+00'"
 LATER, LATER_SQL = datetime(2026, 4, 1, 0, 9, tzinfo=timezone.utc), "TIMESTAMPTZ '2026-04-01 00:09:00+00'"
 AGENT = "larkspur"
+ROBOTS_AT, ROBOTS_AT_SQL = datetime(2026, 3, 20, tzinfo=timezone.utc), "TIMESTAMPTZ '2026-03-20 00:00:00+00'"
 
 
 def revisit_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,11 +164,66 @@ def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("url", "title", "language", F.size("headings").cast("long").alias("headings"), F.md5("content").alias("content"), F.size("links").cast("long").alias("links"))
 
 
+def robots_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for every origin at a moment, and until when."""
+    rows = web.robots_policy(table(spark, sf_dir, "hosts"), ROBOTS_AT)
+    return rows.select("origin", "policy", F.unix_micros("expires_at").alias("expires_us"))
+
+
+def robots_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each page may be fetched at that moment, hosts that are blocked or could not be read included."""
+    url = F.col("u")
+    rows = table(spark, sf_dir, "pages").select(normalize_url(F.col("url")).alias("u")).where("u IS NOT NULL").distinct()
+    urls = rows.select(origin(url).alias("origin"), F.regexp_replace(url, "^https?://[^/]+", "").alias("path"))
+    return web.robots_verdict(urls, table(spark, sf_dir, "hosts"), ROBOTS_AT, AGENT)
+
+
+def sitemap_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sitemaps to read of every origin."""
+    listed = _rules(spark, sf_dir).select(F.col("origin").alias("_o"), "sitemaps").dropDuplicates(["_o"])
+    rows = table(spark, sf_dir, "hosts").select("origin").where("origin IS NOT NULL").distinct().join(listed, F.col("origin") == F.col("_o"), "left")
+    return rows.select("origin", F.explode(web.sitemaps_to_read(F.col("origin"), F.col("sitemaps"))).alias("sitemap"))
+
+
+def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queue entries from sitemaps that are made of the pages of each origin, 16 to an origin of which one is an index; in each the first 50 addresses count."""
+    from larkspur.functions.hashing import bucket, url_hash
+    from larkspur.schema import Settings
+
+    rows = table(spark, sf_dir, "pages").select(normalize_url(F.col("url")).alias("url")).where("url IS NOT NULL").distinct()
+    rows = rows.select(origin(F.col("url")).alias("origin"), "url", F.pmod(bucket(url_hash("url")), F.lit(16)).alias("part"))
+    loc = F.concat(F.lit("<loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc>"))
+    parts = rows.groupBy("origin", "part").agg(F.array_join(F.array_sort(F.collect_list(loc)), "").alias("locs"))
+    kind = F.when(F.col("part") == 0, "sitemapindex").otherwise("urlset")
+    maps = parts.select("origin", F.pmod("part", F.lit(3)).alias("depth"), F.concat(F.lit("<"), kind, F.lit(">"), "locs", F.lit("</"), kind, F.lit(">")).alias("xml"))
+    return web.sitemap_entries(maps, "xml", Settings(urls_per_sitemap=50)).select("origin", "url", F.col("depth").cast("long").alias("depth"), "kind")
+
+
+def page_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by the class of their title and content: the page that leads it, the bits between and the links within three bits."""
+    from larkspur.functions.hashing import simhash_of
+    from larkspur.functions.text import tokenize
+    from larkspur.session import written
+
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
+    rows = table(spark, sf_dir, "pages").where("id IS NOT NULL AND status NOT IN ('gone', 'noindex')").dropDuplicates(["id"])
+    rows = written(rows.select("id", "fetched_at", tokenize(text).alias("t")), "tokens")
+    hashed = written(rows.select("id", "fetched_at", simhash_of("t").alias("simhash")), "simhash")
+    return crawl.near_duplicate_pages(hashed, "id")
+
+
+def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash and URL of each page as one text and taken apart again."""
+    rows = table(spark, sf_dir, "pages").where("url IS NOT NULL AND simhash IS NOT NULL").select("id", "url", "simhash").distinct()
+    rows = rows.select("id", crawl.duplicate_member(F.col("simhash"), F.col("url")).alias("member"))
+    return rows.select("id", "member", *[c.alias(n) for n, c in zip(("hash", "url"), crawl.parsed_member(F.col("member")), strict=True)])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         revisit_interval, due_pages, purge_gone, host_page_cap, host_page_count, latest_version, incremental_refresh, status_counts, pages_list, page_detail, exact_dups, near_dups, frontier_pick,
-        frontier_dedupe, frontier_stats, robots_rules, robots_allowed, politeness_delay, retry_queue, sitemap_urls, html_extract,
+        frontier_dedupe, frontier_stats, robots_rules, robots_allowed, politeness_delay, retry_queue, sitemap_urls, html_extract, robots_policy, robots_verdict, sitemap_discovery, sitemap_entries, page_dups, duplicate_members,
     )
 }
 
@@ -194,6 +250,28 @@ maps AS (SELECT origin, string_agg(v, ' ' ORDER BY i) AS sitemaps FROM pairs WHE
 rules AS (SELECT origin, allow, pattern, delay, coalesce(sitemaps, '') AS sitemaps FROM txt LEFT JOIN own USING (origin) LEFT JOIN delays USING (origin) LEFT JOIN maps USING (origin))"""
 _PATTERN = r"'(?s)^' || replace(regexp_replace(regexp_replace(pattern, '\$$', ''), '([\\.^$+?()\[\]{}|])', '\\\1', 'g'), '*', '.*') || CASE WHEN ends_with(pattern, '$') THEN '$' ELSE '' END"
 
+_EXPIRES = "(SELECT origin, any_value(blocked) AS blocked, any_value(robots_status) AS robots_status, any_value(robots_fetched_at) + CASE WHEN any_value(robots_status) = 'error' THEN INTERVAL 1 HOUR ELSE INTERVAL 24 HOUR END AS e FROM hosts WHERE origin IS NOT NULL GROUP BY origin)"
+
+_DOCUMENTS = f"SELECT doc_id, {duck.tokens('text')} AS t FROM (SELECT doc_id, any_value(text) AS text FROM documents WHERE text <> '' GROUP BY doc_id)"
+_PAGES = f"SELECT id, {duck.tokens('text')} AS t FROM (SELECT id, any_value(coalesce(title, '') || chr(10) || coalesce(content, '')) AS text FROM pages WHERE id IS NOT NULL AND status NOT IN ('gone', 'noindex') GROUP BY id)"
+
+
+def _classes(ident: str, source: str) -> str:
+    """The classes of the SimHashes in ``sim``: leaders one after the other in order of first fetch, as far as a hash has neighbours at all."""
+    return f"""
+d AS (SELECT {ident}, h, coalesce(fetched_at, {_FAR}) AS seen_at FROM sim JOIN (SELECT {ident}, any_value(fetched_at) AS fetched_at FROM {source} GROUP BY {ident}) USING ({ident})),
+g AS (SELECT h, min(seen_at) AS seen_at, count(*) AS copies, arg_min({ident}, {{'a': seen_at, 'b': {ident}}}) AS leader FROM d GROUP BY h),
+near AS (SELECT x.h AS a, y.h AS b, y.copies AS copies FROM g x JOIN g y ON x.h <> y.h AND bit_count(xor(x.h, y.h)) <= 3),
+o AS (SELECT h, row_number() OVER (ORDER BY seen_at, {duck.signed('h')}) AS n FROM g WHERE h IN (SELECT a FROM near)),
+w(n, leads) AS (
+  SELECT 0::BIGINT, CAST([] AS UBIGINT[]) UNION ALL
+  SELECT o.n, CASE WHEN len(list_filter(leads, lambda l: bit_count(xor(l, h)) <= 3)) > 0 THEN leads ELSE list_append(leads, h) END FROM w JOIN o ON o.n = w.n + 1
+), fin AS (SELECT arg_max(leads, n) AS leads FROM w),
+c AS (SELECT h, leader, copies, coalesce(CASE WHEN h IN (SELECT a FROM near) THEN list_filter(leads, lambda l: bit_count(xor(l, h)) <= 3)[1] END, h) AS first FROM g, fin)
+SELECT {ident}, {duck.signed('d.h')} AS simhash, l.leader AS leader, CAST(bit_count(xor(d.h, c.first)) AS INTEGER) AS bits, CAST(c.copies - 1 + coalesce(r.around, 0) AS BIGINT) AS links
+FROM d JOIN c ON c.h = d.h JOIN g l ON l.h = c.first LEFT JOIN (SELECT a, sum(copies) AS around FROM near GROUP BY a) r ON r.a = d.h"""
+
+
 ORACLE = {
     "revisit_interval": f"SELECT DISTINCT id, {_INTERVAL('0.5')} AS if_changed, {_INTERVAL('1.5')} AS if_same FROM pages",
     "due_pages": f"SELECT id, url FROM (SELECT id, any_value(url) AS url, any_value(next_crawl_at) AS seen_at FROM pages WHERE next_crawl_at <= {NOW_SQL} GROUP BY id) ORDER BY seen_at, id LIMIT 5000",
@@ -222,20 +300,27 @@ SELECT id, headings, coalesce(o.n, 0) AS outgoing, coalesce(i.n, 0) AS incoming
 WITH p AS (SELECT id, any_value(content_hash) AS h, any_value(fetched_at) AS seen_at FROM pages WHERE content_hash IS NOT NULL GROUP BY id), f AS (SELECT *, first_value(id) OVER (PARTITION BY h ORDER BY seen_at NULLS LAST, id) AS original FROM p)
 SELECT id, original FROM f WHERE id <> original
 """,
-    # leaders one after the other in order of first fetch, as far as a hash has neighbours at all
-    "near_dups": f"""
-WITH RECURSIVE {duck.simhashes("SELECT doc_id, " + duck.tokens("text") + " AS t FROM (SELECT doc_id, any_value(text) AS text FROM documents WHERE text <> '' GROUP BY doc_id)", "doc_id")},
-d AS (SELECT doc_id, h, coalesce(fetched_at, {_FAR}) AS seen_at FROM sim JOIN (SELECT doc_id, any_value(fetched_at) AS fetched_at FROM documents GROUP BY doc_id) USING (doc_id)),
-g AS (SELECT h, min(seen_at) AS seen_at, count(*) AS copies, arg_min(doc_id, {{'a': seen_at, 'b': doc_id}}) AS leader FROM d GROUP BY h),
-near AS (SELECT x.h AS a, y.h AS b, y.copies AS copies FROM g x JOIN g y ON x.h <> y.h AND bit_count(xor(x.h, y.h)) <= 3),
-o AS (SELECT h, row_number() OVER (ORDER BY seen_at, {duck.signed('h')}) AS n FROM g WHERE h IN (SELECT a FROM near)),
-w(n, leads) AS (
-  SELECT 0::BIGINT, CAST([] AS UBIGINT[]) UNION ALL
-  SELECT o.n, CASE WHEN len(list_filter(leads, lambda l: bit_count(xor(l, h)) <= 3)) > 0 THEN leads ELSE list_append(leads, h) END FROM w JOIN o ON o.n = w.n + 1
-), fin AS (SELECT arg_max(leads, n) AS leads FROM w),
-c AS (SELECT h, leader, copies, coalesce(CASE WHEN h IN (SELECT a FROM near) THEN list_filter(leads, lambda l: bit_count(xor(l, h)) <= 3)[1] END, h) AS first FROM g, fin)
-SELECT doc_id, {duck.signed('d.h')} AS simhash, l.leader AS leader, CAST(bit_count(xor(d.h, c.first)) AS INTEGER) AS bits, CAST(c.copies - 1 + coalesce(r.around, 0) AS BIGINT) AS links
-FROM d JOIN c ON c.h = d.h JOIN g l ON l.h = c.first LEFT JOIN (SELECT a, sum(copies) AS around FROM near GROUP BY a) r ON r.a = d.h
+    "near_dups": f"WITH RECURSIVE {duck.simhashes(_DOCUMENTS, 'doc_id')}, {_classes('doc_id', 'documents')}",
+    "page_dups": f"WITH RECURSIVE {duck.simhashes(_PAGES, 'id')}, {_classes('id', 'pages')}",
+    "duplicate_members": "SELECT id, format('{:016x}', CASE WHEN simhash < 0 THEN CAST(simhash AS HUGEINT) + 18446744073709551616::HUGEINT ELSE CAST(simhash AS HUGEINT) END) || '|' || url AS member, simhash AS hash, url FROM (SELECT DISTINCT id, url, simhash FROM pages WHERE url IS NOT NULL AND simhash IS NOT NULL)",
+    "robots_policy": f"""
+SELECT origin, CASE WHEN blocked THEN 'none' WHEN e IS NULL OR e <= {ROBOTS_AT_SQL} THEN 'fetch' WHEN robots_status = 'ok' THEN 'rules' WHEN robots_status = 'missing' THEN 'all' ELSE 'none' END AS policy, epoch_us(e) AS expires_us FROM {_EXPIRES}
+""",
+    "robots_verdict": f"""
+WITH {_RULES}, u AS (SELECT DISTINCT {duck.normalize_url('url')} AS u FROM pages), p AS (SELECT DISTINCT regexp_extract(u, '^(https?://[^/?#]+)', 1) AS origin, regexp_replace(u, '^https?://[^/]+', '') AS path FROM u WHERE u IS NOT NULL),
+r AS (SELECT origin AS o, allow, pattern, {_PATTERN} AS regex FROM rules WHERE pattern IS NOT NULL),
+h AS (SELECT origin, path, max(CASE WHEN regexp_matches(path, regex) THEN 2 * length(pattern) + CAST(allow AS INTEGER) END) AS best FROM p LEFT JOIN r ON r.o = origin GROUP BY origin, path),
+q AS (SELECT origin, CASE WHEN blocked THEN 'none' WHEN e IS NULL OR e <= {ROBOTS_AT_SQL} THEN 'fetch' WHEN robots_status = 'ok' THEN 'rules' WHEN robots_status = 'missing' THEN 'all' ELSE 'none' END AS policy FROM {_EXPIRES})
+SELECT h.origin, path, coalesce(policy, 'fetch') AS policy, CASE policy WHEN 'none' THEN false WHEN 'all' THEN true WHEN 'rules' THEN path = '/robots.txt' OR coalesce(best % 2 = 1, true) END AS allowed FROM h LEFT JOIN q ON q.origin = h.origin
+""",
+    "sitemap_discovery": f"""
+WITH {_RULES}, s AS (SELECT origin, list({duck.normalize_url('v')} ORDER BY i) FILTER (WHERE {duck.normalize_url('v')} IS NOT NULL) AS l FROM pairs WHERE k = 'sitemap' AND v <> '' GROUP BY origin)
+SELECT origin, unnest(CASE WHEN len(l) > 0 THEN l[1:10] ELSE [origin || '/sitemap.xml'] END) AS sitemap FROM (SELECT DISTINCT origin FROM hosts WHERE origin IS NOT NULL) LEFT JOIN s USING (origin)
+""",
+    "sitemap_entries": f"""
+WITH u AS (SELECT DISTINCT {duck.normalize_url('url')} AS url FROM pages), o AS (SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, url, CAST({duck.mix(duck.fnv('url'))} % 16::UHUGEINT AS INTEGER) AS part FROM u WHERE url IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY origin, part ORDER BY replace(url, '&', '&amp;') || '</loc>') AS nth FROM o)
+SELECT origin, url, CAST(CASE WHEN part = 0 THEN 0 ELSE greatest(part % 3, 1) END AS BIGINT) AS depth, CASE WHEN part = 0 THEN 'sitemap' ELSE 'page' END AS kind FROM n WHERE nth <= 50
 """,
     "robots_rules": f"WITH {_RULES} SELECT origin, allow, pattern, delay, sitemaps FROM rules",
     "robots_allowed": f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -11,12 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.urls import normalize_url, trimmed
+from larkspur.functions.urls import origin as url_origin
+from larkspur.schema import DEFAULTS, Settings
 
 # Elements without text of the page, elements around it, and elements that break lines of text.
-DROPPED = frozenset("script style noscript template svg iframe form".split())
-AROUND = frozenset("nav header footer aside".split())
-BLOCKS = frozenset("p div section article main aside header footer nav li ul ol table tr td th h1 h2 h3 h4 h5 h6 br hr blockquote pre dl dt dd figure body title".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+DROPPED = frozenset(["script", "style", "noscript", "template", "svg", "iframe", "form"])
+AROUND = frozenset(["nav", "header", "footer", "aside"])
+BLOCKS = frozenset([
+    "p", "div", "section", "article", "main", "aside", "header", "footer", "nav", "li", "ul", "ol", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr", "blockquote", "pre", "dl", "dt", "dd", "figure",
+    "body", "title",
+])
+VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"])
 CONTENT_CHARS = 50_000
 
 PAGE = "title string, description string, headings array<string>, content string, language string, canonical string, base string, links array<struct<href:string,text:string,nofollow:boolean>>, noindex boolean, nofollow boolean"
@@ -29,9 +35,10 @@ def _squeeze(parts: list[str]) -> str:
 class _Page(HTMLParser):
     """One pass over a page; every text goes to all the captures that are open where it stands."""
 
-    def __init__(self) -> None:
+    def __init__(self, agent: str = "larkspur") -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
+        self.agent = agent
         self.meta: dict[str, str] = {}
         self.robots: list[str] = []
         self.lang = self.base = self.canonical = None
@@ -51,7 +58,7 @@ class _Page(HTMLParser):
             self.base = a["href"]
         elif tag == "meta":
             name = a.get("name", "").lower() or a.get("property", "").lower()
-            if name == "robots":
+            if name in ("robots", self.agent):
                 self.robots.append(a.get("content", "").lower())
             self.meta.setdefault(name, a.get("content", ""))
         elif tag == "link" and self.canonical is None and a.get("rel", "").lower() == "canonical" and "href" in a:
@@ -102,9 +109,9 @@ class _Page(HTMLParser):
                 self.body.append(data)
 
 
-def parse_page(html: str) -> dict:
-    """Title, description, headings, main text, language, links and robots flags of a page, however broken its markup."""
-    p = _Page()
+def parse_page(html: str, agent: str = "larkspur") -> dict:
+    """Title, description, headings, main text, language, links and robots flags (for all and for ``agent``) of a page, however broken its markup."""
+    p = _Page(agent)
     p.feed(html)
     p.close()
     robots = ",".join(p.robots)
@@ -169,6 +176,25 @@ def sitemap(xml: Column) -> tuple[Column, Column]:
     return F.filter(locs, lambda x: x != ""), F.coalesce(xml.rlike("(?i)<(?:\\w+:)?sitemapindex\\b"), F.lit(False))
 
 
+def sitemap_entries(sitemaps: DataFrame, xml: str, settings: Settings = DEFAULTS) -> DataFrame:
+    """Queue entries ``origin, url, depth, kind`` from sitemaps (``origin, depth`` and the text): the first ``urls_per_sitemap`` addresses of each.
+
+    Those of an index are sitemaps of the same origin, as deep; those of a sitemap are pages, at least one deep. Addresses are normalised, others left out.
+    """
+    locs, is_index = sitemap(F.col(xml))
+    rows = sitemaps.select("origin", "depth", is_index.alias("_index"), F.explode(F.slice(locs, 1, settings.urls_per_sitemap)).alias("_loc"))
+    rows = rows.select("origin", "depth", "_index", normalize_url(F.col("_loc")).alias("url")).where("url IS NOT NULL")
+    own = url_origin(F.col("url"))
+    children = rows.where(F.col("_index") & (own == F.col("origin"))).select("origin", "url", "depth", F.lit("sitemap").alias("kind"))
+    return children.unionByName(rows.where(~F.col("_index")).select(own.alias("origin"), "url", F.greatest("depth", F.lit(1)).alias("depth"), F.lit("page").alias("kind")))
+
+
+def sitemaps_to_read(origin: Column, listed: Column, settings: Settings = DEFAULTS) -> Column:
+    """The first ``sitemaps_per_host`` sitemaps that robots.txt lists, normalised, or ``/sitemap.xml`` if it lists none."""
+    known = F.array_compact(F.transform(F.coalesce(listed, F.array().cast("array<string>")), normalize_url))
+    return F.when(F.size(known) > 0, F.slice(known, 1, settings.sitemaps_per_host)).otherwise(F.array(F.concat(origin, F.lit("/sitemap.xml"))))
+
+
 def is_redirect(status: Column) -> Column:
     """3xx but 304."""
     return status.between(300, 399) & (status != 304)
@@ -188,6 +214,35 @@ def outcome(status: Column) -> Column:
     )
 
 
+def robots_status(status: Column) -> Column:
+    """What an answer to a request for robots.txt means: ok, missing, or error for everything else and for none."""
+    return F.when(status.between(200, 299), "ok").when(status.between(400, 499), "missing").otherwise("error")
+
+
+def robots_policy(hosts: DataFrame, now: datetime, settings: Settings = DEFAULTS) -> DataFrame:
+    """``origin, policy, expires_at``: what holds for each origin at ``now``.
+
+    none (blocked, or its robots.txt could not be read: nothing may be fetched), rules, all (it has none), or fetch: robots.txt is to be read anew, as it
+    never was or its time is over, a day after it was read, an hour if that failed.
+    """
+    ttl = F.when(F.col("robots_status") == "error", F.lit(settings.robots_error_ttl)).otherwise(F.lit(settings.robots_ttl))
+    expires = F.timestamp_micros(F.unix_micros("robots_fetched_at") + (ttl * 1e6).cast("long"))
+    policy = (
+        F.when(F.coalesce("blocked", F.lit(False)), "none").when(expires.isNull() | (expires <= F.lit(now)), "fetch")
+        .when(F.col("robots_status") == "ok", "rules").when(F.col("robots_status") == "missing", "all").otherwise("none")
+    )
+    return hosts.where("origin IS NOT NULL").select("origin", policy.alias("policy"), expires.alias("expires_at")).dropDuplicates(["origin"])
+
+
+def robots_verdict(urls: DataFrame, hosts: DataFrame, now: datetime, agent: str = "larkspur", settings: Settings = DEFAULTS) -> DataFrame:
+    """``origin, path, policy, allowed``: whether each URL may be fetched at ``now``; null where robots.txt has to be read first, as for unknown origins."""
+    rules = robots_rules(hosts, "origin", "robots_txt", agent)
+    policy = robots_policy(hosts, now, settings).select(F.col("origin").alias("_p"), "policy")
+    rows = robots_allowed(urls, rules).join(policy, F.col("origin") == F.col("_p"), "left")
+    p = F.coalesce("policy", F.lit("fetch"))
+    return rows.select("origin", "path", p.alias("policy"), F.when(p == "none", False).when(p == "all", True).when(p == "rules", F.col("allowed")).alias("allowed"))
+
+
 def robots_rules(hosts: DataFrame, origin: str, robots_txt: str, agent: str = "larkspur") -> DataFrame:
     """``origin, allow, pattern, delay, sitemaps`` of the groups that hold for ``agent``: one row for each rule, or one with a null pattern.
 
@@ -232,11 +287,12 @@ def pattern_regex(pattern: Column) -> Column:
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``urls`` (with ``origin`` and ``path``, path and query) and ``allowed``: the longest matching rule decides, Allow among equals, no match allows.
 
-    The rules of an origin meet its URLs in an equi-join on origin; the best rule is an aggregate, so partial results combine before the shuffle.
-    ``/robots.txt`` is always allowed; URLs of origins without rules are allowed. Repeated rows of a URL come back once.
+    An origin's rules are one row (as long as its robots.txt), so that an origin with a third of the URLs is only a join with few rows on one side, which
+    Spark broadcasts by size or splits where it is skewed; nothing is grouped after it. ``/robots.txt`` is always allowed; URLs of origins without
+    rules are allowed. Repeated rows of a URL come back once.
     """
-    r = rules.where("pattern IS NOT NULL").select(F.col("origin").alias("_o"), "allow", "pattern")
-    hit = F.regexp_like(F.col("path"), pattern_regex(F.col("pattern")))
-    best = F.max(F.when(hit, F.struct(F.char_length("pattern").alias("n"), F.col("allow")))).alias("best")
-    joined = urls.dropDuplicates(["origin", "path"]).join(r, F.col("origin") == F.col("_o"), "left")
-    return joined.groupBy("origin", "path").agg(best).select("origin", "path", ((F.col("path") == "/robots.txt") | F.coalesce(F.col("best.allow"), F.lit(True))).alias("allowed"))
+    rule = F.struct(F.char_length("pattern").alias("n"), "allow", pattern_regex(F.col("pattern")).alias("regex"))
+    r = rules.where("pattern IS NOT NULL").groupBy(F.col("origin").alias("_o")).agg(F.collect_list(rule).alias("_rules"))
+    joined = urls.select("origin", "path").dropDuplicates(["origin", "path"]).join(r, F.col("origin") == F.col("_o"), "left")
+    best = F.array_max(F.transform(F.filter("_rules", lambda x: F.regexp_like(F.col("path"), x["regex"])), lambda x: F.struct(x["n"], x["allow"])))
+    return joined.select("origin", "path", ((F.col("path") == "/robots.txt") | F.coalesce(best["allow"], F.lit(True))).alias("allowed"))
