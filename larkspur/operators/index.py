@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import nfkc, normalize_text, tokens_of
+from larkspur.functions.text import nfkc, tokens_of
 from larkspur.functions.urls import host_key, normalize_url, path_depth, url_text
 from larkspur.schema import DEFAULTS, FIELDS
+from larkspur.session import written
 
 
 def anchor_texts(links: DataFrame, cap: int = DEFAULTS.anchors_per_page) -> DataFrame:
     """``url, anchor_text``: up to ``cap`` anchors of links to the page, joined by newlines.
 
-    A page's links to itself (same URL and host) and empty anchors are left out. The first anchors by link id are kept; the cap is applied
-    in partial aggregates, so a page that a third of all links point to never collects them in one task.
+    A page's links to itself (same URL and host) and empty anchors are left out. The first anchors by link id are kept. Spark stops at ``cap`` rows of a page
+    in every task before it shuffles by page, so that a page that a third of all links point to sends ``cap`` rows a task, and no list is longer than ``cap``.
     """
     ok = (F.col("target_url").isNotNull()) & (F.trim("anchor_text") != "") & ((F.col("source_host") != F.col("target_host")) | (F.col("source_url") != F.col("target_url")))
-    rows = links.where(ok).select(F.col("target_url").alias("url"), F.struct(F.coalesce("id", F.lit("")).alias("id"), F.col("anchor_text").alias("text")).alias("a")).distinct()
-    salted = rows.groupBy("url", F.pmod(F.xxhash64("a"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("a")), 1, cap).alias("part"))
-    # 64 parts of at most cap anchors each
-    whole = salted.groupBy("url").agg(F.slice(F.array_sort(F.flatten(F.collect_list("part"))), 1, cap).alias("all"))
+    rows = links.where(ok).select(F.col("target_url").alias("url"), F.coalesce("id", F.lit("")).alias("id"), F.col("anchor_text").alias("text")).distinct()
+    w = Window.partitionBy("url").orderBy("id", "text")
+    first = rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= cap)
+    whole = first.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("nth", "text"))).alias("all"))
     return whole.select("url", F.array_join(F.transform("all", lambda x: x["text"]), "\n").alias("anchor_text"))
 
 
@@ -83,14 +86,26 @@ def corpus_stats(tokens: DataFrame, sources: DataFrame) -> DataFrame:
     return lengths.join(ranks, how="cross").select("documents", average.alias("average_lengths"), "max_page_rank", "max_host_rank")  # one row each
 
 
-def document_frequencies(posts: DataFrame) -> DataFrame:
-    """``term, df``: the number of pages that have the term in any field."""
-    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+@dataclass(frozen=True)
+class Index:
+    """A written index: the pages, their tokens by field, the postings in order of terms, and one row of corpus statistics."""
+
+    sources: DataFrame
+    tokens: DataFrame
+    postings: DataFrame
+    stats: DataFrame
 
 
-def normalized_texts(sources: DataFrame) -> DataFrame:
-    """``page_id`` and the texts that phrases are sought in: the title, and headings, description and content together."""
-    return sources.select("page_id", normalize_text(F.col("title")).alias("norm_title"), normalize_text(F.concat_ws("\n", "headings", "description", "content")).alias("norm_text"))
+def write_index(sources: DataFrame, pieces: int | None = None) -> Index:
+    """Write the index of ``sources`` to the shared folder.
+
+    Postings are range-partitioned and sorted by term and page: a query's ``term IN (...)`` is pushed to the files, whose statistics skip all but the few
+    row groups that have the words, and a term on every page spreads over many files. ``pieces`` is the number of tasks that take texts apart.
+    """
+    src = written(sources.repartition(pieces, "page_id") if pieces else sources, "sources")
+    tok = written(tokenized(src), "tokens")
+    posts = written(postings(tok.repartition(pieces, "page_id") if pieces else tok).repartitionByRange("term", "page_id").sortWithinPartitions("term", "page_id"), "postings")
+    return Index(src, tok, posts, written(corpus_stats(tok, src), "stats"))
 
 
 def depth(sources: DataFrame) -> Column:

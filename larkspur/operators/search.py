@@ -12,7 +12,10 @@ from larkspur.functions.text import normalize_text, snippet
 from larkspur.functions.urls import host_within, path_depth
 from larkspur.operators.index import corpus_stats, matching_postings
 from larkspur.plans.query import Query
-from larkspur.schema import DEFAULTS, FIELD_B, FIELD_WEIGHTS, FIELDS, K1, SYNONYM_FACTOR, WEIGHTS, Settings
+from larkspur.schema import DEFAULTS, FEATURES, FIELD_B, FIELD_WEIGHTS, FIELDS, K1, SYNONYM_FACTOR, WEIGHTS, Settings
+
+# Signs that stay as they are in a query, by their codes.
+OPEN = [("%2F", "/"), ("%3A", ":"), ("%3F", "?"), ("%40", "@"), ("%21", "!"), ("%24", "$"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%2C", ","), ("%3B", ";"), ("%2B", "+")]
 
 
 def idf(documents: Column, df: Column) -> Column:
@@ -81,7 +84,7 @@ def features(query: Query, now: datetime) -> Column:
     share = lambda x, most: F.when(F.col(most) > 0, F.col(x) / F.col(most)).otherwise(0.0)
     return F.array(
         F.log1p("bm25"), F.size("matched") / n, F.col("title_matches") / n, F.col("anchor_matches") / n, F.col("in_title"), F.col("in_body"), share("page_rank", "max_page_rank"),
-        share("host_rank", "max_host_rank"), F.coalesce(F.exp(-age / 365), F.lit(0.0)), 1.0 / (1 + F.col("depth")), (F.col("clicks") + 1.0) / (F.col("impressions") + 10.0), lang,
+        share("host_rank", "max_host_rank"), F.when(F.col("changed_at").isNull(), 0.0).otherwise(F.exp(-age / 365)), 1.0 / (1 + F.col("depth")), (F.col("clicks") + 1.0) / (F.col("impressions") + 10.0), lang,
     )
 
 
@@ -90,50 +93,94 @@ def linear_score(vector: Column, weights: list[float] = WEIGHTS) -> Column:
     return F.aggregate(F.zip_with(F.array(*[F.lit(float(w)) for w in weights]), vector, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
 
-def candidates(sources: DataFrame, tokens: DataFrame, query: Query, now: datetime, settings: Settings = DEFAULTS, posts: DataFrame | None = None) -> DataFrame:
-    """The best pages of each shard by preliminary score, with features; ``total`` is the number that matched in all.
+def query_words(query: Query) -> list[str]:
+    """All words whose postings a query needs: terms, synonyms and excluded words."""
+    return [*query.terms, *[s for a in query.synonyms.values() for s in a], *query.excluded]
+
 
-    ``posts`` is a stored index if there is one, else the query's postings are taken from the token arrays. A query without terms has no result.
+def matched(sources: DataFrame, tokens: DataFrame | None, query: Query, posts: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """Every page that a query finds, with its parts of the score and what ranking needs of it.
+
+    ``posts`` and ``stats`` are those of a stored index if there is one, else the query's postings are taken from the token arrays.
     """
-    words = [*query.terms, *[s for a in query.synonyms.values() for s in a], *query.excluded]
-    posts = matching_postings(tokens, words) if posts is None else posts
-    stats = corpus_stats(tokens, sources)
-    hits = bm25(posts, stats, query)
+    posts = matching_postings(tokens, query_words(query)) if posts is None else posts
+    hits = bm25(posts, corpus_stats(tokens, sources) if stats is None else stats, query)
     if query.excluded:
         hits = hits.join(posts.where(F.col("term").isin(query.excluded)).select("page_id"), "page_id", "left_anti")
-    rows = hits.join(document_columns(sources, query), "page_id").join(F.broadcast(stats.select("max_page_rank", "max_host_rank")), how="cross")
+    return hits.join(document_columns(sources, query), "page_id")
+
+
+def candidates(
+    sources: DataFrame, tokens: DataFrame | None, query: Query, now: datetime, settings: Settings = DEFAULTS, posts: DataFrame | None = None, stats: DataFrame | None = None
+) -> DataFrame:
+    """The best pages of each shard by preliminary score, with features. A query without terms has no result."""
+    stats = corpus_stats(tokens, sources) if stats is None else stats
+    rows = matched(sources, tokens, query, posts, stats).join(F.broadcast(stats.select("max_page_rank", "max_host_rank")), how="cross")  # stats: one row
     rows = rows.withColumn("features", features(query, now))
     f = lambda i: F.get("features", F.lit(i))
     rows = rows.withColumn("preliminary", F.col("bm25") * f(1) * f(1) * (1 + 0.5 * f(4) + 0.2 * f(5)) * (1 + 0.5 * f(6)))
     rows = rows.withColumn("shard", shard(url_hash("url"), settings.shards))
-    best = Window.partitionBy("shard").orderBy(F.col("preliminary").desc(), "url")  # limited within each task before the shuffle
+    # limited within each task before the shuffle; scores that differ beyond 12 decimals only go by URL
+    best = Window.partitionBy("shard").orderBy(F.round("preliminary", 12).desc(), "url")
     return rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= settings.candidates)
 
 
+def total(sources: DataFrame, tokens: DataFrame | None, query: Query, posts: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """One row ``total``: how many pages a query finds, before any limit."""
+    if not query.terms:
+        return sources.where("false").agg(F.count(F.lit(1)).alias("total"))
+    return matched(sources, tokens, query, posts, stats).agg(F.count(F.lit(1)).alias("total"))
+
+
 def diversified(ranked: DataFrame, max_per_host: int = DEFAULTS.max_per_host) -> DataFrame:
     """Add ``rank``: by score and URL, but what exceeds ``max_per_host`` results of a host comes after all the rest. For bounded candidate lists."""
-    within = Window.partitionBy("host").orderBy(F.col("score").desc(), "url")
+    within = Window.partitionBy("host").orderBy(F.round("score", 12).desc(), "url")
     rows = ranked.withColumn("_nth", F.row_number().over(within))
-    overall = Window.orderBy((F.col("_nth") > max_per_host).cast("int"), F.col("score").desc(), "url")
+    overall = Window.orderBy((F.col("_nth") > max_per_host).cast("int"), F.round("score", 12).desc(), "url")
     return rows.withColumn("rank", F.row_number().over(overall)).drop("_nth")
 
 
 def search(
-    sources: DataFrame, tokens: DataFrame, query: Query, now: datetime, page: int = 1, per: int = 10, weights: list[float] = WEIGHTS, settings: Settings = DEFAULTS, posts: DataFrame | None = None
+    sources: DataFrame, tokens: DataFrame | None, query: Query, now: datetime, page: int = 1, per: int = 10, weights: list[float] = WEIGHTS, settings: Settings = DEFAULTS, posts: DataFrame | None = None,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
-    """One page of results: ``rank, page_id, url, host, title, snippet, score, features``; snippets are made for the page only."""
+    """One page of results: ``rank, page_id, url, host, title, description, snippet, score, features, terms, shard, changed_at``; snippets are made for the page only.
+
+    ``terms`` are the words of the query that the page has.
+    """
     if not 1 <= page <= 100 or not 1 <= per <= 50:
         raise ValueError("page must be 1 to 100 and per 1 to 50")
     if not query.terms:
         return sources.where("false").select(
-            F.lit(0).alias("rank"), "page_id", "url", "host", "title", F.lit("").alias("snippet"), F.lit(0.0).alias("score"), F.array().cast("array<double>").alias("features")
+            F.lit(0).alias("rank"), "page_id", "url", "host", "title", "description", F.lit("").alias("snippet"), F.lit(0.0).alias("score"), F.array().cast("array<double>").alias("features"),
+            F.array().cast("array<string>").alias("terms"), F.lit(0).alias("shard"), "changed_at",
         )
-    found = candidates(sources, tokens, query, now, settings, posts)
-    found = found.select("page_id", "url", "host", "title", "description", "features", linear_score(F.col("features"), weights).alias("score"))
+    found = candidates(sources, tokens, query, now, settings, posts, stats)
+    words = F.array(*[F.lit(t) for t in query.terms])
+    found = found.select("page_id", "url", "host", "title", "description", "changed_at", "shard", "features", F.transform("matched", lambda i: F.element_at(words, i + 1)).alias("terms"), linear_score(F.col("features"), weights).alias("score"))
     shown = diversified(found, settings.max_per_host).where(F.col("rank").between((page - 1) * per + 1, page * per))
     texts = sources.select("page_id", F.col("content").alias("_content"))
     shown = texts.join(F.broadcast(shown), "page_id")  # at most 50 rows
-    return shown.select("rank", "page_id", "url", "host", "title", snippet(F.col("_content"), F.col("description"), query.terms, settings.snippet_chars).alias("snippet"), F.round("score", 3).alias("score"), "features")
+    snip = snippet(F.col("_content"), F.col("description"), query.terms, settings.snippet_chars)
+    return shown.select("rank", "page_id", "url", "host", "title", "description", snip.alias("snippet"), F.round("score", 3).alias("score"), "features", "terms", "shard", "changed_at")
+
+
+def click_url(impression: Column, position: Column, url: Column) -> Column:
+    """Address of the call that logs a click and goes on to ``url``; what a query may hold stays as it is."""
+    text = F.replace(F.replace(F.url_encode(url), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~"))
+    for code, sign in OPEN:
+        text = F.replace(text, F.lit(code), F.lit(sign))
+    return F.concat(F.lit("/click?i="), impression, F.lit("&p="), position.cast("string"), F.lit("&u="), text)
+
+
+def result_items(shown: DataFrame, impression: str | None = None, explain: bool = False) -> DataFrame:
+    """``rank, item``: each result as JSON with its click address (if there is an impression), time in ISO 8601, and with ``explain`` its features, terms and shard."""
+    fields = ["rank", "url", *([click_url(F.lit(impression), F.col("rank"), F.col("url")).alias("clickURL")] if impression else []), "title", "description", "snippet", "score"]
+    fields.append(F.date_format("changed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("changedAt"))
+    if explain:
+        named = F.struct(*[F.get("features", F.lit(i)).alias(n) for i, n in enumerate(FEATURES)])
+        fields.append(F.struct(named.alias("features"), F.col("terms").alias("matchedTerms"), F.col("shard").alias("shardID")).alias("explain"))
+    return shown.select("rank", F.to_json(F.struct(*fields)).alias("item"))
 
 
-__all__ = ["FIELDS", "bm25", "candidates", "diversified", "document_columns", "features", "idf", "linear_score", "search", "variants", "weighted_tf"]
+__all__ = ["FIELDS", "bm25", "candidates", "diversified", "document_columns", "features", "idf", "click_url", "linear_score", "matched", "result_items", "search", "total", "variants", "weighted_tf"]

@@ -23,12 +23,11 @@ class Engine:
         self.spark, self.tables, self.settings, self.synonyms = spark, dict(tables), settings, synonyms
         self.cache_seconds, self._cache = cache_seconds, {}
         self.clock = clock or (lambda: datetime.now(timezone.utc))
-        self._index: tuple[DataFrame, DataFrame] | None = None
+        self._index: index.Index | None = None
 
     def rebuild(self) -> None:
         """Build the index anew and swap it in when it is whole."""
-        src = written(index.index_sources(self.tables["pages"], self.tables["links"], self.tables["hosts"]), "sources")
-        self._index = (src, written(index.tokenized(src), "tokens"))
+        self._index = index.write_index(index.index_sources(self.tables["pages"], self.tables["links"], self.tables["hosts"]))
         self._cache.clear()
 
     def weights(self) -> tuple[int, list[float]]:
@@ -51,7 +50,7 @@ class Engine:
         hit = self._cache.get(key)
         if hit and time.monotonic() - hit[0] < self.cache_seconds:
             return hit[1]
-        rows = [r.asDict() for r in search.search(*self._index, query, self.clock(), page, per, weights, self.settings).orderBy("rank").collect()]
+        rows = [r.asDict() for r in search.search(self._index.sources, None, query, self.clock(), page, per, weights, self.settings, self._index.postings, self._index.stats).orderBy("rank").collect()]
         self._cache[key] = (time.monotonic(), rows)
         return rows
 

@@ -12,8 +12,8 @@ from larkspur.functions.text import snippet as snippet_of
 from larkspur.operators import index, search
 from larkspur.plans import duck
 from larkspur.plans.query import Query, parse
-from larkspur.schema import FIELD_B, FIELD_WEIGHTS, FIELDS, K1, SYNONYM_FACTOR
-from larkspur.session import table, written
+from larkspur.schema import FIELD_B, FIELD_WEIGHTS, FIELDS, K1, SYNONYM_FACTOR, WEIGHTS
+from larkspur.session import table
 
 NOW = datetime(2026, 4, 1, tzinfo=timezone.utc)
 
@@ -23,63 +23,71 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @lru_cache(maxsize=8)
-def _built(app: str, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _built(app: str, sf_dir: str, files: tuple) -> index.Index:
     spark = SparkSession.getActiveSession()
     # taking texts apart is the costly part: as many pieces as there are cores, or more where the session asks for more
-    pieces = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    src = written(_sources(spark, sf_dir).repartition(pieces, "page_id"), "sources")
-    return src, written(index.tokenized(src), "tokens")
+    return index.write_index(_sources(spark, sf_dir), max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Sources and tokens of the tables, written once a session as a search engine keeps its index; all searches read them."""
-    return _built(spark.sparkContext.applicationId, sf_dir)
+def _files(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files that the index is made of."""
+    out = []
+    for name in ("pages", "links", "hosts"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        out += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    return tuple(sorted(out))
 
 
-def _found(spark: SparkSession, sf_dir: str, raw: str) -> DataFrame:
+def indexed(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of the tables, written once a session as a search engine keeps its index, and anew when a file has changed; all searches read it."""
+    return _built(spark.sparkContext.applicationId, sf_dir, _files(spark, sf_dir))
+
+
+def _shown(hits: DataFrame) -> DataFrame:
+    return hits.select("page_id", F.round("bm25", 6).alias("bm25"), F.size("matched").cast("long").alias("matched"), "title_matches", "anchor_matches", "in_title", "in_body")
+
+
+def _found(spark: SparkSession, sf_dir: str, q: Query) -> DataFrame:
     """Every page that a query finds, with its parts of the score, before any limit."""
-    q = parse(raw)
-    src, tok = indexed(spark, sf_dir)
-    posts = index.matching_postings(tok, [*q.terms, *[s for a in q.synonyms.values() for s in a], *q.excluded])
-    hits = search.bm25(posts, index.corpus_stats(tok, src), q)
-    if q.excluded:
-        hits = hits.join(posts.where(F.col("term").isin(q.excluded)).select("page_id"), "page_id", "left_anti")
-    rows = hits.join(search.document_columns(src, q), "page_id")
-    return rows.select("page_id", F.round("bm25", 6).alias("bm25"), F.size("matched").cast("long").alias("matched"), "title_matches", "anchor_matches", "in_title", "in_body")
+    ix = indexed(spark, sf_dir)
+    return _shown(search.matched(ix.sources, None, q, ix.postings, ix.stats))
+
+
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, postings and distinct terms of the index, after it was built if it has not been."""
+    ix = indexed(spark, sf_dir)
+    terms = ix.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return ix.stats.select("documents").join(terms.agg(F.sum("df").alias("postings"), F.count(F.lit(1)).alias("terms")), how="cross")  # one row each
 
 
 def bm25f_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field-weighted BM25 over all fields."""
-    return _found(spark, sf_dir, "crawler waiting queue snapshot")
+    return _found(spark, sf_dir, parse("crawler waiting queue snapshot"))
 
 
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase that must occur."""
-    return _found(spark, sf_dir, '"anchor texts" crawler')
+    return _found(spark, sf_dir, parse('"anchor texts" crawler'))
 
 
 def search_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A word that must not occur."""
-    return _found(spark, sf_dir, "tokenizer -scheduler")
+    return _found(spark, sf_dir, parse("tokenizer -scheduler"))
 
 
 def search_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One site with its subdomains."""
-    return _found(spark, sf_dir, "snapshot site:lantern-harbor.example")
+    return _found(spark, sf_dir, parse("snapshot site:lantern-harbor.example"))
 
 
 def search_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages in one language, Japanese terms."""
-    return _found(spark, sf_dir, "巡回プログラム lang:ja")
+    return _found(spark, sf_dir, parse("巡回プログラム lang:ja"))
 
 
 def search_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synonyms count 0.7; here spider stands for crawler and db for database."""
-    q = parse("spider db archive", _book())
-    src, tok = indexed(spark, sf_dir)
-    posts = index.matching_postings(tok, [*q.terms, *[s for a in q.synonyms.values() for s in a]])
-    hits = search.bm25(posts, index.corpus_stats(tok, src), q).join(search.document_columns(src, q), "page_id")
-    return hits.select("page_id", F.round("bm25", 6).alias("bm25"), F.size("matched").cast("long").alias("matched"), "title_matches", "anchor_matches", "in_title", "in_body")
+    return _found(spark, sf_dir, parse("spider db archive", _book()))
 
 
 def _book():  # noqa: ANN202
@@ -90,32 +98,50 @@ def _book():  # noqa: ANN202
 
 def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency of every term, and its occurrences in titles and bodies."""
-    posts = index.postings(indexed(spark, sf_dir)[1])
-    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.get("tf", F.lit(0))).alias("in_titles"), F.sum(F.get("tf", F.lit(5))).alias("in_bodies"))
+    return indexed(spark, sf_dir).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.get("tf", F.lit(0))).alias("in_titles"), F.sum(F.get("tf", F.lit(5))).alias("in_bodies"))
 
 
 def field_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens per field of every page."""
-    tok = indexed(spark, sf_dir)[1]
-    return tok.select("page_id", *[F.size(F.get("tokens", F.lit(i))).cast("long").alias(f) for i, f in enumerate(FIELDS)])
+    return indexed(spark, sf_dir).tokens.select("page_id", *[F.size(F.get("tokens", F.lit(i))).cast("long").alias(f) for i, f in enumerate(FIELDS)])
 
 
 def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, average field lengths and highest ranks."""
-    src, tok = indexed(spark, sf_dir)
-    s = index.corpus_stats(tok, src)
-    return s.select("documents", *[F.round(F.get("average_lengths", F.lit(i)), 6).alias(f) for i, f in enumerate(FIELDS)], F.round("max_page_rank", 9).alias("max_page_rank"), F.round("max_host_rank", 9).alias("max_host_rank"))
+    return indexed(spark, sf_dir).stats.select("documents", *[F.round(F.get("average_lengths", F.lit(i)), 6).alias(f) for i, f in enumerate(FIELDS)], F.round("max_page_rank", 9).alias("max_page_rank"), F.round("max_host_rank", 9).alias("max_host_rank"))
 
 
 def ranking_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve features, preliminary and model score of each shard's candidates."""
-    rows = search.candidates(*indexed(spark, sf_dir), parse("crawler snapshot"), NOW)
+    ix = indexed(spark, sf_dir)
+    rows = search.candidates(ix.sources, None, parse("crawler snapshot"), NOW, posts=ix.postings, stats=ix.stats)
     return rows.select("page_id", "shard", "place", F.round("preliminary", 6).alias("preliminary"), F.round(search.linear_score(F.col("features")), 6).alias("score"), *[F.round(F.get("features", F.lit(i)), 6).alias(f"f{i + 1}") for i in range(12)])
 
 
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of results, diversified by host, with snippets."""
-    return search.search(*indexed(spark, sf_dir), parse("crawler snapshot"), NOW, page=2, per=10).select("rank", "page_id", "host", "snippet", "score")
+    return _page(spark, sf_dir).select("rank", "page_id", "host", "snippet", "score")
+
+
+def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ix = indexed(spark, sf_dir)
+    return search.search(ix.sources, None, parse("crawler snapshot"), NOW, page=2, per=10, posts=ix.postings, stats=ix.stats)
+
+
+def search_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same page as the service answers it: click address, time, terms and shard of each result, with the number of all pages found."""
+    ix = indexed(spark, sf_dir)
+    n = search.total(ix.sources, None, parse("crawler snapshot"), ix.postings, ix.stats)
+    click = search.click_url(F.lit("i1"), F.col("rank"), F.col("url"))
+    rows = _page(spark, sf_dir).select("rank", click.alias("click_url"), F.date_format("changed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("changed_at"), F.array_join("terms", " ").alias("terms"), "shard")
+    return rows.join(n, how="cross")  # one row
+
+
+def search_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page's results as JSON and read back: rank, click address and matched terms."""
+    rows = search.result_items(_page(spark, sf_dir), "i1", explain=True)
+    got = F.from_json("item", "rank int, clickURL string, changedAt string, explain struct<matchedTerms:array<string>,shardID:int>")
+    return rows.select(got.alias("x")).select("x.rank", F.col("x.clickURL").alias("click_url"), F.col("x.changedAt").alias("changed_at"), F.array_join("x.explain.matchedTerms", " ").alias("terms"), F.col("x.explain.shardID").alias("shard"))
 
 
 def host_crowding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,16 +169,16 @@ def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and terms of each shard."""
     from larkspur.functions.hashing import shard, url_hash
 
-    src, tok = indexed(spark, sf_dir)
-    where = src.select("page_id", shard(url_hash("url"), 2).alias("shard"))
-    terms = tok.select("page_id", F.explode(F.array_distinct(F.flatten("tokens"))).alias("term")).join(where, "page_id").select("shard", "term").distinct()
+    ix = indexed(spark, sf_dir)
+    where = ix.sources.select("page_id", shard(url_hash("url"), 2).alias("shard"))
+    terms = ix.postings.select("page_id", "term").join(where, "page_id").select("shard", "term").distinct()
     return where.groupBy("shard").agg(F.count(F.lit(1)).alias("documents")).join(terms.groupBy("shard").agg(F.count(F.lit(1)).alias("terms")), "shard")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25f_search, search_phrase, search_exclude, search_site, search_lang, search_synonyms, term_postings, field_lengths, corpus_statistics, ranking_features, search_page, host_crowding,
+        index_build, bm25f_search, search_phrase, search_exclude, search_site, search_lang, search_synonyms, term_postings, field_lengths, corpus_statistics, ranking_features, search_page, search_envelope, search_items, host_crowding,
         snippet, anchor_text, host_rank_join, index_status,
     )
 }
@@ -181,7 +207,8 @@ _ALL = "list_concat(" * 5 + "t0" + "".join(f", t{i})" for i in range(1, 6))
 _COUNT = lambda i, w: f"len(list_filter(t{i}, lambda x: x = {w}))"
 
 
-def _search_sql(q: Query) -> str:
+def _search_ctes(q: Query) -> tuple[str, str]:
+    """CTEs of a search, and the condition on ``per JOIN docs``."""
     rows = [(t, i, 1.0, 0) for i, t in enumerate(q.terms)] + [(s, i, SYNONYM_FACTOR, k + 1) for i, t in enumerate(q.terms) for k, s in enumerate(q.synonyms.get(t, []))]
     words = ", ".join(f"({duck.text(t)}, {i}, {f}, {a})" for t, i, f, a in rows)
     weighted = " + ".join(f"{w} * tf{i} / (1 - {b} + {b} * l{i} / greatest(a{i}, 1))" for i, (w, b) in enumerate(zip(FIELD_WEIGHTS, FIELD_B, strict=True)))
@@ -203,11 +230,59 @@ scored AS (SELECT page_id, ord, alt, tf0 > 0 AS ti, tf3 > 0 AS an, factor * ln(1
 best AS (SELECT *, row_number() OVER (PARTITION BY page_id, ord ORDER BY s DESC, alt) AS rn FROM scored),
 per AS (SELECT page_id, sum(s) AS bm25, count(*) AS matched, count(*) FILTER (WHERE ti) AS title_matches, count(*) FILTER (WHERE an) AS anchor_matches FROM best WHERE rn = 1 GROUP BY page_id),
 docs AS (SELECT *, {norm} FROM src)
+""", f"{' AND '.join(where)} AND page_id NOT IN ({gone})"
+
+
+def _search_sql(q: Query) -> str:
+    ctes, where = _search_ctes(q)
+    return f"""{ctes}
 SELECT page_id, round(bm25, 6) AS bm25, matched, title_matches, anchor_matches, CAST(contains(nt, {duck.text(q.text)}) AS DOUBLE) AS in_title, CAST(contains(nb, {duck.text(q.text)}) AS DOUBLE) AS in_body
-FROM per JOIN docs USING (page_id) WHERE {' AND '.join(where)} AND page_id NOT IN ({gone})
+FROM per JOIN docs USING (page_id) WHERE {where}
 """
 
 
+def _features_sql(q: Query) -> str:
+    """CTEs up to ``cand``: the candidates of each shard with features f1 to f12, preliminary and model score."""
+    ctes, where = _search_ctes(q)
+    n = f"{max(1, len(q.terms))}::DOUBLE"
+    text = duck.text(q.text)
+    age = f"greatest(0, (epoch_us(TIMESTAMPTZ '2026-04-01 00:00:00+00') - epoch_us(changed_at)) / 86400000000.0::DOUBLE)"
+    share = lambda x, m: f"CASE WHEN {m} > 0 THEN {x} / {m} ELSE 0 END"
+    f = [
+        "ln(1 + bm25)", f"matched / {n}", f"title_matches / {n}", f"anchor_matches / {n}", f"CAST(contains(nt, {text}) AS DOUBLE)", f"CAST(contains(nb, {text}) AS DOUBLE)", share("page_rank", "mp"), share("host_rank", "mh"),
+        f"CASE WHEN changed_at IS NULL THEN 0 ELSE exp(-({age}) / 365) END", f"1.0::DOUBLE / (1 + len(list_filter(string_split({duck.url_path(duck.normalize_url('url'))}, '/'), lambda s: s <> '')))",
+        "(clicks + 1.0::DOUBLE) / (impressions + 10)", f"CASE WHEN language IS NULL THEN 0.5 ELSE CAST(starts_with(lower(language), 'ja') = {str(q.has_cjk).lower()} AS DOUBLE) END",
+    ]
+    model = " + ".join(f"{w}::DOUBLE * f{i + 1}" for i, w in enumerate(WEIGHTS))
+    return f"""{ctes.rstrip()},
+tops AS (SELECT max(page_rank) AS mp, max(host_rank) AS mh FROM src),
+feat AS (SELECT page_id, url, host, content, description, changed_at, bm25, {', '.join(f'CAST({x} AS DOUBLE) AS f{i + 1}' for i, x in enumerate(f))} FROM per JOIN docs USING (page_id), tops WHERE {where}),
+pre AS (SELECT *, bm25 * f2 * f2 * (1 + 0.5::DOUBLE * f5 + 0.2::DOUBLE * f6) * (1 + 0.5::DOUBLE * f7) AS preliminary, {model} AS score, {duck.shard('url', 2)} AS shard FROM feat),
+cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY round(preliminary, 12) DESC, url) AS place FROM pre) WHERE place <= 200),
+nth AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY round(score, 12) DESC, url) AS nth FROM cand),
+ranked AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN nth > 2 THEN 1 ELSE 0 END, round(score, 12) DESC, url) AS rank FROM nth),
+shown AS (SELECT * FROM ranked WHERE rank BETWEEN 11 AND 20)"""
+
+
+def _snippet_sql(rows: str, terms: list[str]) -> str:
+    """CTEs after which ``snip`` has ``page_id`` and ``snippet`` of ``rows`` (page_id, content, description)."""
+    hits = ", ".join(f"coalesce(nullif(instr(folded, {duck.text(t)}), 0), 1000000000)" for t in terms)
+    return f"""
+f AS (SELECT page_id, content, description, length(content) AS n, lower(translate(content, {duck.text(duck.FROM)}, {duck.text(duck.TO)})) AS folded FROM {rows}),
+p AS (SELECT *, least({hits}) - 1 AS hit FROM f),
+s AS (SELECT *, greatest(0, least(hit - 40, n - 160)) AS b FROM p),
+snip AS (SELECT page_id, CASE WHEN content = '' THEN description WHEN hit >= 999999999 THEN CASE WHEN description <> '' THEN description ELSE substring(content, 1, 160) || CASE WHEN n > 160 THEN '…' ELSE '' END END
+  ELSE CASE WHEN b > 0 THEN '…' ELSE '' END || regexp_replace(substring(content, b + 1, least(n, b + 160) - b), '^[\\s\\x{{0b}}]+|[\\s\\x{{0b}}]+$', '', 'g') || CASE WHEN least(n, b + 160) < n THEN '…' ELSE '' END END AS snippet
+FROM s)"""
+
+
+_CRAWLER = parse("crawler snapshot")
+_HAS = [f"(SELECT len({_ALL}) > 0 AND list_contains({_ALL}, {duck.text(t)}) FROM tok WHERE tok.page_id = shown.page_id)" for t in _CRAWLER.terms]
+_CLICK = "replace(url_encode(url), '%2A', '*')"
+for _code, _sign in search.OPEN:
+    _CLICK = f"replace({_CLICK}, '{_code}', {duck.text(_sign)})"
+_ITEM = f"rank, '/click?i=i1&p=' || rank || '&u=' || {_CLICK} AS click_url, strftime(changed_at, '%Y-%m-%dT%H:%M:%SZ') AS changed_at, array_to_string(list_filter([{', '.join(f'CASE WHEN {h} THEN {duck.text(t)} END' for h, t in zip(_HAS, _CRAWLER.terms, strict=True))}], lambda w: w IS NOT NULL), ' ') AS terms, shard"
+
 ORACLE = {
     "bm25f_search": _search_sql(parse("crawler waiting queue snapshot")),
     "search_phrase": _search_sql(parse('"anchor texts" crawler')),
@@ -232,14 +307,16 @@ WITH {_SOURCES}, top AS (SELECT page_id, url, host, page_rank AS score FROM src
 nth AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY score DESC, url) AS nth FROM top)
 SELECT page_id, CAST(row_number() OVER (ORDER BY CASE WHEN nth > 2 THEN 1 ELSE 0 END, score DESC, url) AS INTEGER) AS rank FROM nth
 """,
-    "snippet": f"""
-WITH {_SOURCES}, f AS (SELECT page_id, content, description, length(content) AS n, lower(translate(content, {duck.text(duck.FROM)}, {duck.text(duck.TO)})) AS folded FROM src),
-p AS (SELECT *, least(coalesce(nullif(instr(folded, 'snapshot'), 0), 1000000000), coalesce(nullif(instr(folded, 'archive'), 0), 1000000000)) - 1 AS hit FROM f),
-s AS (SELECT *, greatest(0, least(hit - 40, n - 160)) AS b FROM p)
-SELECT page_id, CASE WHEN content = '' THEN description WHEN hit >= 999999999 THEN CASE WHEN description <> '' THEN description ELSE substring(content, 1, 160) || CASE WHEN n > 160 THEN '…' ELSE '' END END
-  ELSE CASE WHEN b > 0 THEN '…' ELSE '' END || regexp_replace(substring(content, b + 1, least(n, b + 160) - b), '^[\\s\\x{{0b}}]+|[\\s\\x{{0b}}]+$', '', 'g') || CASE WHEN least(n, b + 160) < n THEN '…' ELSE '' END END AS snippet
-FROM s
+    "snippet": f"WITH {_SOURCES}, {_snippet_sql('src', ['snapshot', 'archive'])} SELECT page_id, snippet FROM snip",
+    "ranking_features": _features_sql(_CRAWLER) + f" SELECT page_id, shard, CAST(place AS INTEGER) AS place, round(preliminary, 6) AS preliminary, round(score, 6) AS score, {', '.join(f'round(f{i}, 6) AS f{i}' for i in range(1, 13))} FROM cand",
+    "search_page": _features_sql(_CRAWLER) + f", {_snippet_sql('shown', _CRAWLER.terms)} SELECT CAST(rank AS INTEGER) AS rank, page_id, host, snippet, round(score, 3) AS score FROM shown JOIN snip USING (page_id)",
+    "search_envelope": _features_sql(_CRAWLER) + f" SELECT CAST(rank AS INTEGER) AS rank, click_url, changed_at, terms, shard, (SELECT count(*) FROM pre) AS total FROM (SELECT {_ITEM} FROM shown)",
+    "search_items": _features_sql(_CRAWLER) + f" SELECT CAST(rank AS INTEGER) AS rank, click_url, changed_at, terms, shard FROM (SELECT {_ITEM} FROM shown)",
+    "index_status": f"""
+WITH {_SOURCES}, {_TOKENS}, w AS (SELECT page_id, {duck.shard('url', 2)} AS shard FROM src), t AS (SELECT shard, count(DISTINCT term) AS terms FROM (SELECT page_id, unnest({_ALL}) AS term FROM tok) JOIN w USING (page_id) GROUP BY shard)
+SELECT shard, count(*) AS documents, any_value(terms) AS terms FROM w JOIN t USING (shard) GROUP BY shard
 """,
+    "index_build": f"WITH {_SOURCES}, {_TOKENS}, t AS (SELECT DISTINCT page_id, unnest({_ALL}) AS term FROM tok) SELECT (SELECT count(*) FROM tok) AS documents, count(*) AS postings, count(DISTINCT term) AS terms FROM t",
     "anchor_text": f"WITH {_ANCHORS.strip()} SELECT * FROM anchors",
     "host_rank_join": f"WITH {_SOURCES} SELECT page_id, host, round(host_rank, 9) AS host_rank, CAST(clicks AS BIGINT) AS clicks, CAST(impressions AS BIGINT) AS impressions FROM src",
 }
