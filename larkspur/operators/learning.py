@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.schema import FEATURES, WEIGHTS
+from larkspur.schema import DEFAULTS, FEATURES, WEIGHTS
 from larkspur.session import written
 
 
@@ -23,6 +25,11 @@ def url_counts(impressions: DataFrame, clicks: DataFrame) -> DataFrame:
     return shown.join(clicked, "url", "left").select("url", "impressions", F.coalesce("clicks", F.lit(0)).alias("clicks"))
 
 
+def recent(rows: DataFrame, now: datetime, days: int = DEFAULTS.training_days, at: str = "created_at") -> DataFrame:
+    """Rows of the last ``days`` days before ``now``; rows without a time are left out."""
+    return rows.where(F.unix_micros(at) >= F.unix_micros(F.lit(now).cast("timestamp")) - days * 86_400_000_000)
+
+
 def smoothed_ctr(clicks: Column, impressions: Column) -> Column:
     """(clicks + 1) / (impressions + 10)."""
     return (clicks + 1.0) / (impressions + 10.0)
@@ -59,7 +66,8 @@ def pair_accuracy(pairs: DataFrame, weights: list[float] = WEIGHTS) -> DataFrame
 def train(pairs: DataFrame, weights: list[float] = WEIGHTS, epochs: int = 20, rate: float = 0.05, pull: float = 0.01, steps: float = 100.0) -> list[float]:
     """Pairwise logistic regression, pulled towards the first weights: each epoch is one aggregate of the mean gradient, ``steps`` of it are taken.
 
-    Deterministic, unlike row-by-row descent in random order; a log without pairs leaves the weights as they are.
+    Deterministic and free of the order of rows, unlike descent pair by pair in random order, whose expected step it takes ``steps`` times an epoch (tests hold
+    the two against each other); a log without pairs leaves the weights as they are.
     """
     rows = written(pairs.select("difference"), "pairs")
     w, first = list(weights), list(weights)
@@ -72,3 +80,33 @@ def train(pairs: DataFrame, weights: list[float] = WEIGHTS, epochs: int = 20, ra
         hold = math.exp(-step * pull)  # the pull of many small steps at once
         w = [f + (x - f) * hold + step * (g / sums[0]) for x, f, g in zip(w, first, sums[1:], strict=True)]
     return w
+
+
+@dataclass
+class Training:
+    """What a training run has found: pairs, the new weights (None if there were too few pairs) and the accuracy before and after."""
+
+    pairs: int
+    weights: list[float] | None
+    before: float
+    after: float
+
+
+def train_run(impressions: DataFrame, clicks: DataFrame, now: datetime, weights: list[float] = WEIGHTS, days: int = DEFAULTS.training_days, minimum: int = DEFAULTS.minimum_pairs, **options: float) -> Training:
+    """Learn from the clicks of the last days; fewer than ``minimum`` pairs leave the model as it is."""
+    pairs = written(skip_above_pairs(impressions, recent(clicks, now, days)), "pairs")
+    n, before = pair_accuracy(pairs, weights).first()
+    if n < minimum:
+        return Training(n, None, before, before)
+    new = train(pairs, weights, **options)
+    return Training(n, new, before, pair_accuracy(pairs, new).first().accuracy)
+
+
+def appended_model(models: DataFrame, ident: str, weights: list[float], pairs: int, now: datetime) -> DataFrame:
+    """The model table with one model more, a version above the newest (1 if there is none)."""
+    new = models.agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("v")).select(
+        F.lit(ident).alias("id"), F.col("v").alias("version"),
+        F.struct(F.col("v").alias("version"), F.array(*[F.lit(n) for n in FEATURES]).alias("featureNames"), F.array(*[F.lit(float(w)) for w in weights]).alias("weights")).alias("model"),
+        F.lit(pairs).alias("trained_pairs"), F.lit(now).cast("timestamp").alias("created_at"),
+    )
+    return models.unionByName(new.select(*models.columns))
