@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from larkspur.functions.urls import host_key
@@ -31,9 +31,10 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-9) -> DataFrame:
     """``id, rank``: ranks that sum to 1, from equal ranks, until the ranks change by less than ``tolerance`` in all or ``iterations`` are done.
 
-    Ranks of nodes without outgoing edges are spread over all nodes. Nodes are numbered, and edges written once as pairs of numbers, partitioned by
-    source, so that each iteration moves only numbers, ranks and partial sums; each is checkpointed, and the files of earlier ones are released as it
-    goes. The driver sees two numbers an iteration. No nodes: no rows.
+    Ranks of nodes without outgoing edges are spread over all nodes. Nodes are numbered, edges written once as pairs of numbers by source, ranks by node
+    in partitions of the same kind, and adaptive planning, which would merge them, is off in the loop: an iteration joins where the rows lie and
+    shuffles only the partial sums by target. Each is checkpointed, its two totals are observed as it is written, and the files of
+    earlier ones are released as it goes. No nodes: no rows.
     """
     spark = nodes.sparkSession
     names = checkpointed(nodes.where("id IS NOT NULL").select("id").distinct().withColumn("node", F.monotonically_increasing_id()))
@@ -41,26 +42,34 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     if not n:
         return names.select("id", F.lit(0.0).alias("rank"))
     ends = [names.select(F.col("id").alias(c), F.col("node").alias(f"{c}_node")) for c in ("src", "dst")]
-    pairs = edges.select("src", "dst").join(ends[0], "src").join(ends[1], "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
-    links = checkpointed(clean_edges(pairs).repartition("src"))
-    out = links.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    state = names.join(out, names["node"] == out["src"], "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(1.0 / n).alias("rank"))
-    state = checkpointed(state)
-    lost = F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("rank"))), F.lit(0.0))
-    dangling = state.agg(lost).first()[0]
-    for i in range(iterations):
-        base = (1 - damping) / n + damping * dangling / n
-        giving = state.where("degree > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("degree")).alias("share"))
-        got = links.join(giving, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("got"))
-        new = checkpointed(state.join(got, "node", "left").select("node", "degree", F.col("rank").alias("old"), (base + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
-        delta, dangling = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), lost).first()
-        state = new.select("node", "degree", "rank")
-        if i % 10 == 9:  # shuffle and checkpoint files stay until the driver collects its garbage
-            del giving, got, new
-            gc.collect()
-            spark._jvm.System.gc()
-        if delta < tolerance:
-            break
+    pairs = clean_edges(edges.select("src", "dst").join(ends[0], "src").join(ends[1], "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst")))
+    adaptive = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(adaptive)
+    spark.conf.set(adaptive, "false")
+    try:
+        links = checkpointed(pairs.repartition("src").sortWithinPartitions("src"))
+        out = links.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+        state = names.join(out, names["node"] == out["src"], "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(1.0 / n).alias("rank"))
+        state = checkpointed(state.repartition("node").sortWithinPartitions("node"))
+        lost = F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("rank"))), F.lit(0.0)).alias("lost")
+        dangling = state.agg(lost).first()[0]
+        for i in range(iterations):
+            base = (1 - damping) / n + damping * dangling / n
+            giving = state.where("degree > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("degree")).alias("share"))
+            got = links.join(giving, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("got"))
+            new = state.join(got, "node", "left").select("node", "degree", F.col("rank").alias("old"), (base + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+            totals = Observation()
+            new = checkpointed(new.observe(totals, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("delta"), lost))
+            delta, dangling = totals.get["delta"], totals.get["lost"]
+            state = new.select("node", "degree", "rank")
+            if i % 10 == 9:  # shuffle and checkpoint files stay until the driver collects its garbage
+                del giving, got, new
+                gc.collect()
+                spark._jvm.System.gc()
+            if delta < tolerance:
+                break
+    finally:
+        spark.conf.set(adaptive, before)
     return state.join(names, "node").select("id", "rank")
 
 

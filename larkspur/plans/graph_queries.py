@@ -34,13 +34,19 @@ def hostrank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.pagerank(*_host_graph(spark, sf_dir)).select("id", F.round("rank", 12).alias("rank"))
 
 
-def rank_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_rank_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page ranks to write back: those that differ from the stored ones."""
     nodes, edges = _page_graph(spark, sf_dir)
     stored = table(spark, sf_dir, "pages").where("status <> 'gone' AND url IS NOT NULL").groupBy(F.col("url").alias("id")).agg(F.max(F.when(~F.isnan("page_rank"), F.col("page_rank"))).alias("old_rank"))
     return graph.changed_ranks(stored, graph.pagerank(nodes, edges)).select("id", F.round("rank", 12).alias("rank"))
 
 
+def rank_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host ranks that differ from the stored ones."""
+    stored = table(spark, sf_dir, "hosts").groupBy(graph.host_key(F.col("host")).alias("id")).agg(F.max("host_rank").alias("old_rank"))
+    return graph.changed_ranks(stored, graph.pagerank(*_host_graph(spark, sf_dir))).select("id", F.round("rank", 12).alias("rank"))
+
+
 def host_rank_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of the hosts with the rank of its host."""
     hosts = table(spark, sf_dir, "hosts").select("id", "origin", graph.host_key(F.col("host")).alias("host")).distinct()
@@ -58,7 +64,7 @@ def in_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.neighbours(table(spark, sf_dir, "links"), "target_url")
 
 
-QUERIES = {f.__name__: f for f in (edge_degrees, pagerank, hostrank, rank_writeback, host_rank_writeback, out_links, in_links)}
+QUERIES = {f.__name__: f for f in (edge_degrees, pagerank, hostrank, rank_writeback, page_rank_writeback, host_rank_writeback, out_links, in_links)}
 
 _PAGES = """
 nodes AS MATERIALIZED (SELECT DISTINCT url AS id FROM pages WHERE status <> 'gone' AND url IS NOT NULL),
@@ -94,7 +100,9 @@ ORACLE = {
     "edge_degrees": f"WITH {_PAGES} SELECT id, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree FROM nodes LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY 1) o ON o.src = id LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY 1) i ON i.dst = id",
     "pagerank": _ranks(_PAGES) + " SELECT id, round(rank, 12) AS rank FROM ranks",
     "hostrank": _ranks(_HOSTS) + " SELECT id, round(rank, 12) AS rank FROM ranks",
-    "rank_writeback": _ranks(_PAGES)
+    "rank_writeback": _ranks(_HOSTS)
+    + f", old AS (SELECT {duck.host_key('host')} AS id, max(host_rank) AS old FROM hosts GROUP BY 1) SELECT id, round(rank, 12) AS rank FROM ranks JOIN old USING (id) WHERE old IS NULL OR isnan(old) OR abs(rank - old) > 1e-12",
+    "page_rank_writeback": _ranks(_PAGES)
     + ", old AS (SELECT url AS id, max(CASE WHEN NOT isnan(page_rank) THEN page_rank END) AS old FROM pages WHERE status <> 'gone' AND url IS NOT NULL GROUP BY 1) SELECT id, round(rank, 12) AS rank FROM ranks JOIN old USING (id) WHERE old IS NULL OR abs(rank - old) > 1e-12",
     "host_rank_writeback": _ranks(_HOSTS)
     + f" SELECT h.id AS id, origin, round(rank, 12) AS host_rank FROM (SELECT DISTINCT id, origin, {duck.host_key('host')} AS host FROM hosts) h LEFT JOIN ranks r ON r.id = h.host",
