@@ -127,6 +127,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.boilerplate_lines(pages, "id", host_key(F.col("host")), "title", "headings", "content")
 
 
+def p6_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of each page: its length and digest."""
+    pages = table(spark, sf_dir, "pages").select("id", "content")
+    return boilerplate.main_text(pages, "id", "content", p6_found(spark, sf_dir)).select("id", F.char_length("body").alias("chars"), F.md5("body").alias("digest"))
+
+
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("id", "host", "content")
     return site_lines.line_sequences(pages, "id", host_key(F.col("host")), "content")
@@ -194,7 +200,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_ranking, p3_found, p3_kept, p3_hosts, p4_found, p4_error_rate, p5_found, p5_languages, p6_found, p7_found, p7_sequences, p8_packs, p8_fill, p9_mix, p9_shares, p10_found, p10_rates)
+    for f in (p2_found, p2_ranking, p3_found, p3_kept, p3_hosts, p4_found, p4_error_rate, p5_found, p5_languages, p6_found, p6_body, p7_found, p7_sequences, p8_packs, p8_fill, p9_mix, p9_shares, p10_found, p10_rates)
 }
 
 _HOST = r"regexp_replace(regexp_replace(lower(trim(host)), ':(80|443)$', ''), '\.$', '')"

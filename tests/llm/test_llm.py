@@ -225,6 +225,57 @@ def test_tree_matching_is_the_longest(pairs):
         assert list(sides[0][k][ha[k]]) == list(sides[1][k][hb[k]])
 
 
+def brute_trees(a, b):
+    """Simple tree matching of (label, children), recursively."""
+    if a[0] != b[0]:
+        return 0
+    t = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1]):
+        for j, y in enumerate(b[1]):
+            t[i + 1][j + 1] = max(t[i][j + 1], t[i + 1][j], t[i][j] + brute_trees(x, y))
+    return 1 + t[-1][-1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(10, 14), st.lists(st.integers(20, 23), min_size=1, max_size=4)), max_size=7), min_size=2, max_size=5))
+def test_pages_match_as_trees(pages):
+    tree = lambda lines: ("page", [(x, []) if isinstance(x, int) else ("menu", [(y, []) for y in x]) for x in lines])
+    leaves = [(p, n, y, 0 if isinstance(x, int) else boilerplate.ITEM) for p, lines in enumerate(pages) for n, x in enumerate(lines) for y in ([x] if isinstance(x, int) else x)]
+    cols = [np.array([r[k] for r in leaves], np.int64) for k in range(4)]
+    forest = boilerplate.Forest(*cols, len(pages))
+    for a in range(len(pages)):
+        for b in range(a + 1, len(pages)):
+            compared, matched = forest.match(np.array([a]), np.array([b]))
+            if pages[a] == pages[b]:
+                assert not compared.any() and not matched.any()
+                continue
+            assert set(compared.tolist()) <= {0, 1} and compared.sum() == len(pages[a]) + len(pages[b])
+            mine = matched[cols[0] == a].sum()
+            assert mine == matched[cols[0] == b].sum()
+            # every matched leaf counts one, a matched menu one more
+            best = brute_trees(tree(pages[a]), tree(pages[b])) - 1
+            menus = sum(isinstance(x, list) for x in pages[a])
+            assert mine <= best <= mine + menus
+
+
+def test_long_notices_and_titles_of_other_pages(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    notice = words(60)
+    rows = []
+    for h in range(8):
+        for p in range(12):
+            lines = [notice, words(50), words(9), f"- All about {h * 12 + (p + 1) % 12} and {'xyz'[h % 3]} in words {words(0)}".strip()]
+            rows.append((f"{h}-{p}", f"s{h}.example", f"All about {h * 12 + p} and {'xyz'[h % 3]} in words".strip(), "\n".join(lines)))
+    rows = [(i, h, t + " " + i, c.rsplit("\n", 1)[0] + "\n- " + rows[(k // 12) * 12 + (k + 1) % 12][2] + " " + rows[(k // 12) * 12 + (k + 1) % 12][0]) for k, (i, h, t, c) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id string, host string, title string, content string").withColumn("headings", F.lit(None).cast("string"))
+    assert len(notice) > 400
+    lines = boilerplate.boilerplate_lines(df, "id", F.col("host"), "title", "headings", "content").cache()
+    assert sorted(r.line_no for r in lines.collect()) == [1] * 96 + [4] * 96
+    body = {r.id: r.body for r in boilerplate.main_text(df, "id", "content", lines).collect()}
+    assert body == {i: "\n".join(c.split("\n")[1:3]) for i, _, _, c in rows}
+
+
 def test_boilerplate(spark):
     rng = random.Random(8)
     rows, want = [], set()
