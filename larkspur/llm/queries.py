@@ -139,16 +139,21 @@ def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that occur on at least 6 pages of their host."""
-    rows = _sequences(spark, sf_dir)
-    return site_lines.occurrences(rows, site_lines.frequent_lines(rows, 6)).select(F.col("doc").alias("id"), F.col("line_no").cast("int").alias("line_no"))
+    """Lines in occurrences of the sequences that PrefixSpan finds on at least 6 pages of their host."""
+    found = site_lines.PrefixSpan(_sequences(spark, sf_dir), 6).deletions()
+    return found.select(F.col("doc").alias("id"), F.col("line_no").cast("int").alias("line_no"))
 
 
 def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of two or more repeated lines, of any length, with the number of pages that have them."""
-    rows = _sequences(spark, sf_dir)
-    found = site_lines.occurrences(rows, site_lines.frequent_lines(rows, 6))
-    return site_lines.frequent_sequences(found, 6)
+    """All sequences of repeated lines without another between, single lines among them, of any length, with the number of pages that have them."""
+    return site_lines.PrefixSpan(_sequences(spark, sf_dir), 6).patterns()
+
+
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each page without the repeated lines: its length and digest."""
+    pages = table(spark, sf_dir, "pages").select("id", "content")
+    gone = site_lines.PrefixSpan(_sequences(spark, sf_dir), 6).deletions()
+    return site_lines.without_lines(pages, "id", "content", gone).select(F.col("doc").alias("id"), F.char_length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> dict[str, int]:
@@ -200,7 +205,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_ranking, p3_found, p3_kept, p3_hosts, p4_found, p4_error_rate, p5_found, p5_languages, p6_found, p6_body, p7_found, p7_sequences, p8_packs, p8_fill, p9_mix, p9_shares, p10_found, p10_rates)
+    for f in (p2_found, p2_ranking, p3_found, p3_kept, p3_hosts, p4_found, p4_error_rate, p5_found, p5_languages, p6_found, p6_body, p7_found, p7_sequences, p7_cleaned, p8_packs, p8_fill, p9_mix, p9_shares, p10_found, p10_rates)
 }
 
 _HOST = r"regexp_replace(regexp_replace(lower(trim(host)), ':(80|443)$', ''), '\.$', '')"
@@ -211,6 +216,15 @@ taking AS (
   WHERE len(r.features) = 12 AND len(list_filter(r.features, lambda x: x IS NULL OR isnan(x))) = 0
 )"""
 
+_REPEATED = f"""
+WITH p AS (SELECT id, any_value({_HOST}) AS host, any_value(content) AS content FROM pages WHERE content IS NOT NULL GROUP BY id),
+l AS (SELECT id, host, generate_subscripts(string_split(content, chr(10)), 1) AS line_no, unnest(string_split(content, chr(10))) AS line FROM p),
+k AS (
+  SELECT id, host, line_no,
+    trim(regexp_replace(lower(line), '[\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}]+', ' ', 'g')) AS line
+  FROM l
+), f AS (SELECT host, line FROM k WHERE length(line) >= 16 GROUP BY 1, 2 HAVING count(DISTINCT id) >= 6)"""
+
 ORACLE = {
     "p2_found": f"""
 WITH {_RESULTS}, n AS (SELECT id, count(*) AS n FROM taking GROUP BY id HAVING count(*) >= 4),
@@ -260,14 +274,9 @@ WITH f AS (SELECT seq, {duck.normalize_url('url')} AS key FROM frontier WHERE se
 k AS (SELECT key, min(seq) AS seq FROM f WHERE key IS NOT NULL GROUP BY key)
 SELECT DISTINCT f.seq FROM f JOIN k USING (key) WHERE f.seq > k.seq OR key IN (SELECT key FROM p WHERE key IS NOT NULL)
 """,
-    "p7_found": f"""
-WITH p AS (SELECT id, any_value({_HOST}) AS host, any_value(content) AS content FROM pages WHERE content IS NOT NULL GROUP BY id),
-l AS (SELECT id, host, generate_subscripts(string_split(content, chr(10)), 1) AS line_no, unnest(string_split(content, chr(10))) AS line FROM p),
-k AS (
-  SELECT id, host, line_no,
-    trim(regexp_replace(lower(line), '[\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}]+', ' ', 'g')) AS line
-  FROM l
-), f AS (SELECT host, line FROM k WHERE length(line) >= 16 GROUP BY 1, 2 HAVING count(DISTINCT id) >= 6)
-SELECT id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (host, line)
+    "p7_found": f"{_REPEATED} SELECT id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (host, line)",
+    "p7_cleaned": f"""
+{_REPEATED}, x AS (SELECT id, k.line_no AS line_no FROM k JOIN f USING (host, line)), o AS (SELECT l.id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS body FROM l LEFT JOIN x ON x.id = l.id AND x.line_no = l.line_no WHERE x.id IS NULL GROUP BY l.id)
+SELECT p.id AS id, CAST(length(coalesce(body, '')) AS INTEGER) AS chars, md5(coalesce(body, '')) AS digest FROM p LEFT JOIN o ON o.id = p.id
 """,
 }
