@@ -145,8 +145,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sequences of repeated lines without another between, single lines among them, of any length, with the number of pages that have them."""
-    return site_lines.PrefixSpan(_sequences(spark, sf_dir), 6).patterns()
+    """All sequences of repeated lines, single lines among them, of any length and with any others between, with the number of pages that have them."""
+    return site_lines.PrefixSpan(_sequences(spark, sf_dir), 6, gap=None).patterns()
 
 
 def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
