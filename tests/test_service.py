@@ -270,3 +270,41 @@ def test_scope_and_robots_policy(spark):
     assert got == {"blocked": "none", "fresh": "rules", "old": "fetch", "none": "all", "err": "none", "err2": "fetch", "never": "fetch"}
     said = spark.createDataFrame([(200,), (404,), (503,), (None,)], "s int").select(web.robots_status(F.col("s")).alias("x")).collect()
     assert [r.x for r in said] == ["ok", "missing", "error", "error"]
+
+
+SITE = {
+    "https://a.example/robots.txt": (200, "text/plain", "User-agent: *\nDisallow: /secret\nCrawl-delay: 2\nSitemap: https://a.example/map.xml"),
+    "https://a.example/map.xml": (200, "application/xml", "<urlset><url><loc>https://a.example/mapped</loc></url></urlset>"),
+    "https://a.example/": (200, "text/html", "<title>Home</title><p>words of the first page that are many enough<a href='/two'>two</a><a href='/secret/x'>no</a><a href='https://b.example/far'>far</a><a href='/moved'>m</a>"),
+    "https://a.example/two": (200, "text/html", "<title>Two</title><p>another text with quite other words in it, and a link <a href='/'>home</a>"),
+    "https://a.example/mapped": (200, "text/html", "<title>Mapped</title><p>found by the map alone, nothing links here at all"),
+    "https://b.example/far": (200, "text/html", "<title>Two</title><p>another text with quite other words in it, and a link <a href='/'>home</a>"),
+}
+
+
+def test_the_loop_crawls_a_small_web(spark):
+    def fetch(asked):
+        rows = []
+        for r in asked.collect():
+            status, kind, body = SITE.get(r.url, (404, None, None))
+            if r.url.endswith("/moved"):
+                status, body = 301, None
+            rows.append((r.url, status, kind, "/two" if status == 301 else None, None, None, body))
+        return spark.createDataFrame(rows, "url string, status int, content_type string, location string, etag string, last_modified string, body string")
+
+    from larkspur.operators.cycle import CrawlLoop
+
+    loop = CrawlLoop(spark, scratch_path(spark, "loop"), fetch)
+    loop.add(["https://A.example", "mailto:nobody"])
+    assert loop.cycle(NOW) == 1
+    assert {r.url for r in loop.table("queue").collect()} == {"https://a.example/map.xml", "https://a.example/two", "https://a.example/secret/x", "https://b.example/far", "https://a.example/moved"}
+    assert loop.cycle(NOW + timedelta(seconds=1)) == 1  # b only: a has to rest for two seconds
+    assert loop.run(NOW + timedelta(seconds=3), 8, timedelta(seconds=3)) >= 5
+    pages = {r.url: r for r in loop.table("pages").collect()}
+    assert {u: p.status for u, p in pages.items()} == {"https://a.example/": "ok", "https://b.example/far": "ok", "https://a.example/two": "duplicate", "https://a.example/mapped": "ok"}
+    assert pages["https://a.example/two"].duplicate_of == "https://b.example/far" and pages["https://a.example/mapped"].depth == 1 and pages["https://a.example/"].fetch_count == 1
+    assert {(r.source_url[-8:], r.target_url[-8:]) for r in loop.table("links").collect()} >= {(".example"[1:] + "/", "mple/two")}
+    hosts = {r.host: r for r in loop.table("hosts").collect()}
+    assert hosts["a.example"].page_count == 3 and hosts["a.example"].robots_status == "ok" and hosts["b.example"].robots_status == "missing"
+    events = loop.table("counters").groupBy("event").agg(F.sum("n").alias("n")).collect()
+    assert {r.event: r.n for r in events}["indexed"] == 3 and loop.table("queue").count() == 0
