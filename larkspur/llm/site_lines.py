@@ -21,9 +21,13 @@ from larkspur.operators.skew import spread_semi_join
 from larkspur.session import checkpointed
 
 
-def same_line(line: Column) -> Column:
-    """Lower case, trimmed, each run of white space one space."""
-    return F.trim(F.regexp_replace(F.lower(line), f"(?:{SPACES}|[\\x{{1c}}-\\x{{1f}}])+", " "))
+# white space but for line ends; most characters are visible ASCII, told first
+BLANKS = f"(?![!-~])[{SPACES[1:-1]}\\x{{1c}}-\\x{{1f}}&&[^\\n]]+"
+
+
+def same_lines(text: Column) -> Column:
+    """The lines of a text in lower case, trimmed, each run of white space one space. One pass over the text, before it is divided."""
+    return F.transform(F.split(F.regexp_replace(F.lower(text), BLANKS, " "), "\n", -1), lambda line: F.trim(line))
 
 
 def line_sequences(docs: DataFrame, ident: str, source: Column, text: str, min_chars: int = 16) -> DataFrame:
@@ -33,12 +37,11 @@ def line_sequences(docs: DataFrame, ident: str, source: Column, text: str, min_c
     document count once. Null texts have no lines. Written to the shared folder, as it is read again and again.
     """
 
-    def key(raw: Column) -> Column:
-        line = same_line(raw)
+    def key(line: Column) -> Column:
         return F.when(F.length(line) >= min_chars, F.xxhash64(line))
 
     rows = docs.where(F.col(text).isNotNull() & F.col(ident).isNotNull()).select(
-        F.col(ident).alias("doc"), F.xxhash64(source).alias("source"), F.transform(F.split(F.col(text), "\n", -1), key).alias("lines")
+        F.col(ident).alias("doc"), F.xxhash64(source).alias("source"), F.transform(same_lines(F.col(text)), key).alias("lines")
     )
     return checkpointed(rows.dropDuplicates(["doc"]))
 
