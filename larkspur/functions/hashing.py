@@ -7,6 +7,8 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,23 +20,23 @@ MIX_ADD, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111
 BUCKETS = 1024
 
 
+def fnv1a64_flat(flat: np.ndarray, first: np.ndarray, n: np.ndarray, seed: int = FNV_OFFSET) -> np.ndarray:
+    """FNV-1a of texts given as bytes: where each begins and how long it is. One vector step per byte position."""
+    out = np.full(len(n), seed, np.uint64)
+    by = np.argsort(-n, kind="stable")  # the texts still running are a prefix
+    ends = np.searchsorted(-n[by], -np.arange(int(n.max(initial=0))), "left")  # how many are longer than each position
+    state, at = np.full(len(n), seed, np.uint64), first[by].astype(np.int64)
+    for i, left in enumerate(ends):
+        state[:left] = (state[:left] ^ flat[at[:left] + i]) * np.uint64(FNV_PRIME)
+    out[by] = state
+    return out
+
+
 def fnv1a64(texts: list[str], seed: int = FNV_OFFSET) -> np.ndarray:
-    """FNV-1a of many texts at once: one vector step per byte position."""
+    """FNV-1a of many texts at once."""
     raw = [t.encode() for t in texts]
     n = np.array([len(x) for x in raw], np.int64)
-    out = np.full(len(raw), seed, np.uint64)
-    if not len(raw) or not n.max(initial=0):
-        return out
-    flat = np.frombuffer(b"".join(raw), np.uint8)
-    first = np.concatenate(([0], np.cumsum(n)[:-1]))
-    by = np.argsort(-n, kind="stable")  # the texts still running are a prefix
-    left = len(by)
-    for i in range(int(n.max())):
-        while n[by[left - 1]] <= i:
-            left -= 1
-        rows = by[:left]
-        out[rows] = (out[rows] ^ flat[first[rows] + i].astype(np.uint64)) * np.uint64(FNV_PRIME)
-    return out
+    return fnv1a64_flat(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(n) - n, n, seed)
 
 
 def mix(z: np.ndarray) -> np.ndarray:
@@ -84,17 +86,39 @@ def bloom_positions(bits: int = 1 << 30, hashes: int = 7):  # noqa: ANN201
     return positions
 
 
-@F.pandas_udf(T.LongType())
-def simhash_of(tokens: pd.Series) -> pd.Series:
+def _simhashes(tokens: pa.Array, pieces: int = 1 << 19) -> np.ndarray:
+    """SimHash of each list of tokens, some ``pieces`` runs of tokens at a time; equal runs are hashed once."""
+    offsets, words = tokens.offsets.to_numpy().astype(np.int64), tokens.values.cast(pa.large_string())
+    sizes = np.diff(offsets)
+    if tokens.null_count:
+        sizes = np.where(tokens.is_null().to_numpy(zero_copy_only=False), 0, sizes)
+    runs = np.where(sizes > 0, np.maximum(sizes - 2, 1), 0)
+    ends = np.cumsum(runs)
+    out, lo = np.zeros(len(sizes), np.uint64), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + pieces, "right")))
+        n = runs[lo:hi]
+        doc = np.repeat(np.arange(lo, hi), n)
+        at = offsets[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        if len(doc):
+            part = [words.take(pa.array(np.minimum(at + k, len(words) - 1))) for k in range(3)]
+            for k in (1, 2):  # lists of one or two tokens are one run of that length
+                part[k] = pc.if_else(pa.array(sizes[doc] > k), part[k], pa.scalar(None, pa.large_string()))
+            joined = pc.binary_join_element_wise(*part, pa.scalar(" ", pa.large_string()), null_handling="skip").dictionary_encode()
+            _, where, raw = joined.dictionary.cast(pa.large_string()).buffers()
+            first = np.frombuffer(where, np.int64)[: len(joined.dictionary) + 1]
+            bits = np.unpackbits(mix(fnv1a64_flat(np.frombuffer(raw, np.uint8), first[:-1], np.diff(first))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            some = np.flatnonzero(n)
+            ones = np.add.reduceat(bits[joined.indices.to_numpy()], (np.cumsum(n) - n)[some], axis=0, dtype=np.int32)
+            out[lo + some] = np.packbits(2 * ones > n[some][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        lo = hi
+    return out
+
+
+@F.arrow_udf(T.LongType())
+def simhash_of(tokens: pa.Array) -> pa.Array:
     """SimHash of an array of tokens: bit by bit the majority of the mixed hashes of its runs of three tokens (of all, if fewer); 0 for none."""
-    out = np.zeros(len(tokens), np.uint64)
-    for i, t in enumerate(tokens):
-        if t is not None and len(t):
-            size = min(3, len(t))
-            h = mix(fnv1a64([" ".join(t[k : k + size]) for k in range(len(t) - size + 1)]))
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            out[i] = np.packbits(2 * bits > len(h), bitorder="little").view(np.uint64)[0]
-    return pd.Series(out.view(np.int64))
+    return pa.array(_simhashes(tokens).view(np.int64))
 
 
 def bands(simhash: Column) -> Column:

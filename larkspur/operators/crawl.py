@@ -11,7 +11,7 @@ from larkspur.functions.hashing import blocks, hamming
 from larkspur.functions.urls import host_within, is_non_html, looks_like_trap, normalize_url, origin, url_host
 from larkspur.operators.ranking import ranked
 from larkspur.schema import DEFAULTS, Settings
-from larkspur.session import checkpointed
+from larkspur.session import checkpointed, written
 
 
 def in_scope(url: Column, depth: Column, allow: list[str] | None = None, block: list[str] | None = None, settings: Settings = DEFAULTS) -> Column:
@@ -112,6 +112,9 @@ def _near(pages: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
     far = F.lit("9999-12-31").cast("timestamp")
     hashes = checkpointed(pages.where("simhash IS NOT NULL").groupBy("simhash").agg(F.min(F.coalesce("fetched_at", far)).alias("at")))
     keyed = hashes.select("simhash", "at", F.inline(blocks(F.col("simhash"), distance)))
+    # hardly any key has two hashes: a hash aggregate finds those that have, and only theirs are joined
+    shared = keyed.groupBy("block", "bits").agg(F.min("simhash").alias("lo"), F.max("simhash").alias("hi")).where("lo <> hi").select("block", "bits")
+    keyed = written(keyed.join(written(shared, "shared"), ["block", "bits"], "left_semi"), "keyed")
     a, b = keyed.select("block", "bits", F.col("simhash").alias("x"), F.col("at").alias("xt")), keyed.select("block", "bits", F.col("simhash").alias("y"), F.col("at").alias("yt"))
     near = a.join(b, ["block", "bits"]).where((F.struct("xt", "x") < F.struct("yt", "y")) & (hamming(F.col("x"), F.col("y")) <= distance))
     return hashes, checkpointed(near.select("x", "xt", "y").distinct())
