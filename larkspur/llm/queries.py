@@ -39,7 +39,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order of each impression's results over all four scores."""
-    return score_fusion.fused_rank(_flows(spark, sf_dir)).select(F.col("grp").alias("id"), F.col("item").alias("position"), F.round("flow", 9).alias("flow"), "rank")
+    return score_fusion.fused_rank(_flows(spark, sf_dir)).select(F.col("grp").alias("id"), F.col("item").alias("position"), (F.round("flow", 9) + 0.0).alias("flow"), "rank")
 
 
 def _ok_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +247,7 @@ flows AS (
   SELECT x.id, x.position, sum(least(greatest((x.r - y.r) / 0.5, 0), 1) - least(greatest((y.r - x.r) / 0.5, 0), 1)) / 4 / greatest(any_value(n) - 1, 1) AS flow
   FROM pct x JOIN pct y ON y.id = x.id AND y.k = x.k JOIN n ON n.id = x.id GROUP BY x.id, x.position
 )
-SELECT id, position, round(flow, 9) AS flow, CAST(row_number() OVER (PARTITION BY id ORDER BY round(flow, 12) DESC, position) AS INTEGER) AS rank FROM flows
+SELECT id, position, round(flow, 9) + 0.0::DOUBLE AS flow, CAST(row_number() OVER (PARTITION BY id ORDER BY round(flow, 12) DESC, position) AS INTEGER) AS rank FROM flows
 """,
     "p3_found": f"""
 WITH p AS (SELECT id, any_value({_HOST}) AS host, any_value(page_rank) AS page_rank FROM pages WHERE status = 'ok' GROUP BY id),
