@@ -64,6 +64,11 @@ def bucket(hash_: Column) -> Column:
     return hash_.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
 
 
+def buckets_of(number: int, shards: int) -> list[int]:
+    """The buckets that a shard holds."""
+    return list(range(number, BUCKETS, shards))
+
+
 def shard(hash_: Column, shards: int) -> Column:
     """Shard of a hash: its bucket modulo the number of shards."""
     return F.pmod(bucket(hash_), F.lit(shards))

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
 
 # Kana, CJK ideographs and two iteration signs; the middle dot U+30FB stands apart and separates words.
-CJK = "\\x{3041}-\\x{309F}\\x{30A0}-\\x{30FA}\\x{30FC}-\\x{30FF}\\x{31F0}-\\x{31FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{3005}\\x{3006}"
+CJK_RANGES = [(0x3041, 0x309F), (0x30A0, 0x30FA), (0x30FC, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x3005, 0x3006)]
+CJK = "".join(f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in CJK_RANGES)
 WORD = f"[\\p{{IsAlphabetic}}\\p{{N}}&&[^{CJK}\\x{{30FB}}]]"
 RUNS = f"[{CJK}]+|{WORD}+"
 CAMEL = "(?<=\\p{Ll})(?=\\p{Lu})|(?<=\\p{Lu})(?=\\p{Lu}\\p{Ll})|(?<=\\p{L})(?=\\p{N})|(?<=\\p{N})(?=\\p{L})"

@@ -110,6 +110,8 @@ class Engine:
             self._writer.submit(self._log, ident, text, page, version, rows)
         key = ("total", query.cache_key)
         if key not in self._totals:
+            if len(self._totals) >= self.cache_entries:
+                self._totals.clear()
             self._totals[key] = search.total(self._index.sources, None, query, self._index.postings, self._index.stats).first().total
         results = []
         for r in rows:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from larkspur.functions.hashing import FNV_OFFSET, FNV_PRIME, MIX_A, MIX_ADD, MIX_B
-from larkspur.functions.text import FROM, STOP_WORDS, TO
+from larkspur.functions.text import CJK, FROM, STOP_WORDS, TO
 from larkspur.functions.urls import NON_HTML, TRACKING
 
-CJK = r"\x{3041}-\x{309F}\x{30A0}-\x{30FA}\x{30FC}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3005}\x{3006}"
 SPACES = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 

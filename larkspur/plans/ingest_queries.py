@@ -11,6 +11,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.hashing import buckets_of
 from larkspur.functions.urls import host_key, normalize_url, origin, url_host
 from larkspur.operators import crawl, frontier, ingest
 from larkspur.operators.segments import SegmentedIndex
@@ -122,6 +123,23 @@ def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.lookup(urls, pages).select("url", "old.id", "old.etag")
 
 
+def shard_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that the second of three shards reads: its buckets are a filter of the scan."""
+    rows = table(spark, sf_dir, "pages").where(F.col("shard_bucket").isin(buckets_of(1, 3)) & (F.col("status") == "ok"))
+    return rows.select("id", F.col("shard_bucket").cast("long").alias("bucket")).distinct()
+
+
+def segment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live pages and segments of an index that took up each page's states in eleven parts by their sequence: after the ninth there was one segment."""
+    rows = table(spark, sf_dir, "page_changes").where("id IS NOT NULL").select("id", "status", "version_hash", "change_seq")
+    index = SegmentedIndex(spark, scratch_path(spark, "segments"), "id string, version_hash string, change_seq long")
+    parts = checkpointed(crawl.latest_versions(rows.withColumn("part", F.pmod("change_seq", F.lit(11))), "id", F.col("change_seq"), F.col("change_seq")))
+    for n in range(11):
+        mine = parts.where(F.col("part") == n)
+        index.apply(mine.where("status = 'ok'").select("id", "version_hash", "change_seq"), mine.where("status <> 'ok'").select("id"))
+    return index.status().select("documents", F.col("segments").cast("long").alias("segments"))
+
+
 # the frontier
 
 
@@ -239,7 +257,7 @@ def watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fetch_dispatch, page_upsert, page_touch, page_gone, retry_or_keep, link_replace, follow_ups, crawl_counters, host_counts_after, page_lookup, frontier_enqueue, frontier_claim, frontier_release,
+        fetch_dispatch, page_upsert, page_touch, page_gone, retry_or_keep, link_replace, follow_ups, crawl_counters, host_counts_after, page_lookup, shard_scan, segment_status, frontier_enqueue, frontier_claim, frontier_release,
         frontier_takeover, recrawl, scheduler_tick, seed_list, seed_scope, active_workers, segment_refresh, watermark,
     )
 }
@@ -314,6 +332,8 @@ UNION ALL SELECT 'error', count(*) FROM b WHERE action IN ('retry', 'keep', 'dro
 """,
     "host_counts_after": f"WITH {_BATCH}, n AS (SELECT origin, count(*) AS n FROM b WHERE action = 'save' AND NOT known GROUP BY origin) SELECT id, CAST(page_count + coalesce(n, 0) AS BIGINT) AS page_count FROM (SELECT DISTINCT id, origin, page_count FROM hosts) LEFT JOIN n USING (origin)",
     "page_lookup": "SELECT url, p.id AS id, p.etag AS etag FROM (SELECT DISTINCT target_url AS url FROM links WHERE target_url IS NOT NULL) LEFT JOIN (SELECT url, any_value(id) AS id, first(etag) AS etag FROM pages GROUP BY url) p USING (url)",
+    "shard_scan": "SELECT DISTINCT id, CAST(shard_bucket AS BIGINT) AS bucket FROM pages WHERE status = 'ok' AND shard_bucket % 3 = 1",
+    "segment_status": "SELECT count(*) AS documents, 3::BIGINT AS segments FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY change_seq DESC) AS n FROM page_changes WHERE id IS NOT NULL) WHERE n = 1 AND status = 'ok'",
     "frontier_enqueue": f"WITH {_ACCEPTED} SELECT origin, url, seq FROM queue",
     "frontier_claim": f"WITH {_ACCEPTED} SELECT origin, url, seq, epoch_us({CLAIM_SQL}) + 60000000 AS until_us FROM leases",
     "frontier_release": f"""

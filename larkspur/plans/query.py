@@ -6,12 +6,10 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
-from larkspur.functions.text import STOP_WORDS
+from larkspur.functions.text import CJK_RANGES, STOP_WORDS
 
 # Synonym groups that are known by default.
 SYNONYMS = [["js", "javascript"], ["ts", "typescript"], ["k8s", "kubernetes"], ["db", "database"], ["mac", "macos"], ["postgres", "postgresql"], ["golang", "go"]]
-# The same character ranges as the column tokenizer's.
-CJK_RANGES = [(0x3041, 0x309F), (0x30A0, 0x30FA), (0x30FC, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x3005, 0x3006)]
 QUOTES = '"“”'
 
 
