@@ -15,10 +15,14 @@ STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "i
 # Kana, CJK ideographs and two iteration signs; the middle dot U+30FB stands apart and separates words.
 CJK_RANGES = [(0x3041, 0x309F), (0x30A0, 0x30FA), (0x30FC, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x3005, 0x3006)]
 CJK = "".join(f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in CJK_RANGES)
+FIRST_CJK = chr(min(a for a, _ in CJK_RANGES))  # texts compare as their characters do: Latin words are told from CJK without a pattern
 WORD = f"[\\p{{IsAlphabetic}}\\p{{N}}&&[^{CJK}\\x{{30FB}}]]"
 RUNS = f"[{CJK}]+|{WORD}+"
 CAMEL = "(?<=\\p{Ll})(?=\\p{Lu})|(?<=\\p{Lu})(?=\\p{Lu}\\p{Ll})|(?<=\\p{L})(?=\\p{N})|(?<=\\p{N})(?=\\p{L})"
 
+# what a word with parts holds: a capital or number behind its first character, or one that begins it and goes on
+PARTED = "(?s).[\\p{Lu}\\p{N}]|^\\p{N}."
+
 
 def _one_to_one() -> tuple[str, str]:
     """Characters of the basic plane whose compatibility form is one other character, and these forms, by rule."""
@@ -70,15 +74,13 @@ def bigrams(run: Column) -> Column:
 
 def tokens_of(normal: Column) -> Column:
     """Tokens of a text that is in NFKC but keeps its case."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-
     def words(w: Column) -> Column:
         whole = F.array(F.lower(w))
         parts = F.filter(F.transform(camel_parts(w), F.lower), lambda p: F.char_length(p) > 1)
-        split = F.when(w.rlike(CAMEL), F.concat(whole, parts)).otherwise(whole)
-        return F.filter(split, lambda p: ~F.array_contains(stop, p))
+        split = F.when(w.rlike(PARTED) & w.rlike(CAMEL), F.concat(whole, parts)).otherwise(whole)
+        return F.filter(split, lambda p: ~p.isin(*STOP_WORDS))
 
-    return F.flatten(F.transform(F.regexp_extract_all(normal, F.lit(RUNS), F.lit(0)), lambda r: F.when(r.rlike(f"^[{CJK}]"), bigrams(r)).otherwise(words(r))))
+    return F.flatten(F.transform(F.regexp_extract_all(normal, F.lit(RUNS), F.lit(0)), lambda r: F.when((r >= F.lit(FIRST_CJK)) & r.rlike(f"^[{CJK}]"), bigrams(r)).otherwise(words(r))))
 
 
 def tokenize(text: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import nfkc, tokens_of
+from larkspur.functions.text import nfkc, normalize_text, tokens_of
 from larkspur.functions.urls import host_key, normalize_url, path_depth, url_text
 from larkspur.schema import DEFAULTS, FIELDS
 from larkspur.session import written
@@ -86,9 +86,14 @@ def corpus_stats(tokens: DataFrame, sources: DataFrame) -> DataFrame:
     return lengths.join(ranks, how="cross").select("documents", average.alias("average_lengths"), "max_page_rank", "max_host_rank")  # one row each
 
 
+def normalized(sources: DataFrame) -> DataFrame:
+    """With the texts that phrases are sought in: ``norm_title``, and ``norm_text`` of headings, description and content together."""
+    return sources.withColumn("norm_title", normalize_text(F.col("title"))).withColumn("norm_text", normalize_text(F.concat_ws("\n", "headings", "description", "content")))
+
+
 @dataclass(frozen=True)
 class Index:
-    """A written index: the pages, their tokens by field, the postings in order of terms, and one row of corpus statistics."""
+    """A written index: the pages with their texts as phrases are sought in them, their tokens by field, the postings in order of terms, and one row of corpus statistics."""
 
     sources: DataFrame
     tokens: DataFrame
@@ -102,7 +107,7 @@ def write_index(sources: DataFrame, pieces: int | None = None) -> Index:
     Postings are range-partitioned and sorted by term and page: a query's ``term IN (...)`` is pushed to the files, whose statistics skip all but the few
     row groups that have the words, and a term on every page spreads over many files. ``pieces`` is the number of tasks that take texts apart.
     """
-    src = written(sources.repartition(pieces, "page_id") if pieces else sources, "sources")
+    src = written(normalized(sources.repartition(pieces, "page_id") if pieces else sources), "sources")
     tok = written(tokenized(src), "tokens")
     posts = written(postings(tok.repartition(pieces, "page_id") if pieces else tok).repartitionByRange("term", "page_id").sortWithinPartitions("term", "page_id"), "postings")
     return Index(src, tok, posts, written(corpus_stats(tok, src), "stats"))

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.hashing import shard, url_hash
-from larkspur.functions.text import normalize_text, snippet
+from larkspur.functions.text import snippet
 from larkspur.functions.urls import host_within, path_depth
-from larkspur.operators.index import corpus_stats, matching_postings
+from larkspur.operators.index import corpus_stats, matching_postings, normalized
 from larkspur.plans.query import Query
 from larkspur.schema import DEFAULTS, FEATURES, FIELD_B, FIELD_WEIGHTS, FIELDS, K1, SYNONYM_FACTOR, WEIGHTS, Settings
 
@@ -60,19 +60,17 @@ def bm25(posts: DataFrame, stats: DataFrame, query: Query) -> DataFrame:
 
 def document_columns(sources: DataFrame, query: Query) -> DataFrame:
     """What ranking needs of each page that passes the filters; texts are tested where they lie and never shuffled."""
-    title, body = normalize_text(F.col("title")), normalize_text(F.concat_ws("\n", "headings", "description", "content"))
-    rows = sources
+    rows = sources if "norm_text" in sources.columns else normalized(sources)
     if query.site:
         rows = rows.where(host_within(F.col("host"), query.site))
     if query.language:
         rows = rows.where(F.coalesce(F.lower("language").startswith(query.language), F.lit(False)))
-    rows = rows.withColumn("_title", title).withColumn("_text", body)
     for phrase in query.phrases:
-        rows = rows.where(F.col("_title").contains(phrase) | F.col("_text").contains(phrase))
+        rows = rows.where(F.col("norm_title").contains(phrase) | F.col("norm_text").contains(phrase))
     said = F.lit(bool(query.text))
     return rows.select(
         "page_id", "url", "host", "title", "description", "language", "changed_at", "page_rank", "host_rank", "clicks", "impressions", path_depth(F.col("norm_url")).alias("depth"),
-        (said & F.col("_title").contains(query.text)).cast("double").alias("in_title"), (said & F.col("_text").contains(query.text)).cast("double").alias("in_body"),
+        (said & F.col("norm_title").contains(query.text)).cast("double").alias("in_title"), (said & F.col("norm_text").contains(query.text)).cast("double").alias("in_body"),
     )
 
 
