@@ -225,7 +225,59 @@ k AS (
   FROM l
 ), f AS (SELECT host, line FROM k WHERE length(line) >= 16 GROUP BY 1, 2 HAVING count(DISTINCT id) >= 6)"""
 
+_BLANKS = duck.text(" \t\n\r\x0b\x0c\ufffd")
+_CLOSERS = duck.text(" \t\n\r\x0b\x0c\ufffd)]}»”’」』）】\"'")
+# apostrophes between letters are put aside as two private characters while signs are parted
+_ASIDE = "body"
+for _ in range(2):
+    for _sign, _private in (("\\x27", "\ue000"), ("’", "\ue001")):
+        _ASIDE = f"regexp_replace({_ASIDE}, '([\\p{{L}}\\p{{M}}]){_sign}([\\p{{L}}\\p{{M}}])', '\\1{_private}\\2', 'g')"
+_CJK = r"\x{3005}-\x{3007}\x{3041}-\x{30ff}\x{31f0}-\x{31ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}"
+_CUT = rf"""
+texts AS (SELECT md5(text) AS k, min(text) AS text, min(lower(trim(source))) AS source FROM documents WHERE text IS NOT NULL AND rtrim(text, {_BLANKS}) <> '' GROUP BY md5(text)),
+ended AS (SELECT k, source, length(text) AS chars, octet_length(encode(text)) AS bytes, right(rtrim(text), 1) = chr(65533) AS torn, rtrim(text, {_BLANKS}) AS body FROM texts),
+unmarked AS (
+  SELECT *, CASE WHEN right(body, 1) IN ('…', ']', ')') OR right(body, 3) = '...'
+    THEN rtrim(regexp_replace(body, '(\s*(\[\s*(\.\.\.|…)\s*\]|\(\s*(\.\.\.|…)\s*\)|…+|\.\.\.+))+$', ''), {_BLANKS}) ELSE body END AS bare FROM ended
+), closed AS (
+  SELECT k, source, chars, bytes, bare, length(bare) < length(body) AS marked, right(rtrim(bare, {_CLOSERS}), 1) IN ('.', '!', '?', '。', '！', '？') AS stopped,
+    torn OR regexp_matches(right(body, 12), '(^|\s)&#?\w{{0,8}}$') OR (contains(body, '<') AND regexp_matches(string_split(body, '<')[-1], '^[a-zA-Z/!][^>]*$')) AS broken FROM unmarked
+), parted AS (
+  SELECT k, source, chars, bytes, marked, broken, stopped AND NOT regexp_matches(right(bare, 2), '\d[.]') AND NOT marked AS whole, regexp_extract(right(bare, 60), '(\S)\S*$', 1) AS head,
+    regexp_replace(lower(regexp_replace(translate(bare, chr(9) || chr(13) || chr(11) || chr(12), '    '), '(\p{{Lu}}\p{{L}}+)(\s\d)', '№\2', 'g')), '\d+(?:[.,:]\d+)*', ' 0 ', 'g') AS body FROM closed
+), spaced AS (
+  SELECT * EXCLUDE body, translate(regexp_replace({_ASIDE}, '([{_CJK}]|[^\s\p{{L}}\p{{M}}\p{{N}}\x{{e000}}\x{{e001}}])', ' \1 ', 'g'), chr(57344) || chr(57345), chr(39) || '’') AS body FROM parted
+), lined AS (SELECT *, list_filter(list_transform(string_split(body, chr(10)), lambda l: trim(l, {_BLANKS})), lambda l: l <> '') AS lines, trim(string_split(body, chr(10))[-1], {_BLANKS}) AS last FROM spaced),
+flat AS (SELECT len(lines) AS m, unnest(range(1, len(lines) + 1)) AS n, unnest(lines) AS line FROM lined),
+words AS (SELECT m, n, regexp_split_to_array(line, ' +') AS w FROM flat),
+grams AS (SELECT m, n, len(w) AS size, i, w[i] AS c, CASE WHEN i < 2 THEN '^' ELSE w[i - 1] END AS b, CASE WHEN i < 3 THEN '^' ELSE w[i - 2] END AS a FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words)),
+counted AS MATERIALIZED (SELECT a, b, c, count(*) FILTER (WHERE i < size) AS go, count(*) FILTER (WHERE i = size AND n < m) AS inner_end, count(*) FILTER (WHERE i = size AND n = m) AS text_end FROM grams GROUP BY a, b, c),
+finals AS MATERIALIZED (
+  SELECT k, marked, broken, head, source, chars, bytes, w[-1] AS c, CASE WHEN len(w) < 2 THEN '^' ELSE w[-2] END AS b, CASE WHEN len(w) < 3 THEN '^' ELSE w[-3] END AS a
+  FROM (SELECT *, regexp_split_to_array(last, ' +') AS w FROM lined WHERE (NOT whole OR broken) AND last <> '')
+), lengths AS (SELECT source, kind, len, count(*) AS n FROM (SELECT source, 'c' AS kind, chars AS len FROM lined UNION ALL SELECT source, 'b', bytes FROM lined) GROUP BY source, kind, len),
+limits AS (SELECT source, kind, len FROM (SELECT *, sum(n) OVER (PARTITION BY source, kind ORDER BY len RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - n AS near FROM lengths) WHERE n >= 5 AND n >= 4 * near / 20.0 + 3),
+begun AS (SELECT a, b, p, sum(n) AS n FROM (SELECT a, b, go + inner_end AS n, unnest(list_transform(range(1, length(c)), lambda i: substring(c, 1, i))) AS p FROM counted WHERE length(c) > 1 AND go + inner_end > 0) GROUP BY a, b, p),
+pairs AS MATERIALIZED (SELECT b, c, sum(go) AS go, sum(inner_end) AS inner_end, sum(text_end) AS text_end FROM counted GROUP BY b, c),
+pairs_begun AS (SELECT b, p, sum(n) AS n FROM (SELECT b, go + inner_end AS n, unnest(list_transform(range(1, length(c)), lambda i: substring(c, 1, i))) AS p FROM pairs WHERE length(c) > 1 AND go + inner_end > 0) GROUP BY b, p),
+judged AS (
+  SELECT f.k, coalesce(t.go, 0) AS go, coalesce(t.inner_end, 0) + greatest(coalesce(t.text_end, 0) - 1, 0) AS ends, coalesce(p.n, 0) AS begun, coalesce(q.go, 0) AS pair_go,
+    coalesce(q.inner_end, 0) + greatest(coalesce(q.text_end, 0) - 1, 0) AS pair_ends, coalesce(pb.n, 0) AS pair_begun, coalesce(m.go, 0) AS name_go, coalesce(m.inner_end, 0) AS name_ends, f.marked, f.broken, f.head,
+    EXISTS (SELECT 1 FROM limits l WHERE l.source IS NOT DISTINCT FROM f.source AND ((l.kind = 'c' AND l.len = f.chars) OR (l.kind = 'b' AND l.len = f.bytes))) AS at_limit
+  FROM finals f LEFT JOIN counted t ON f.a = t.a AND f.b = t.b AND f.c = t.c LEFT JOIN begun p ON f.a = p.a AND f.b = p.b AND f.c = p.p LEFT JOIN counted m ON f.a = m.a AND f.b = m.b AND m.c = '№'
+  LEFT JOIN pairs q ON f.b = q.b AND f.c = q.c LEFT JOIN pairs_begun pb ON f.b = pb.b AND f.c = pb.p
+), cut AS (
+  SELECT k FROM judged WHERE broken OR (go >= 3 AND ends <= 0.1 * (go + ends)) OR ((marked OR at_limit) AND (go >= 1 OR ends = 0)) OR (begun >= 3 AND go + ends <= 0.1 * begun)
+    OR (go + ends = 0 AND pair_go >= 5 AND pair_ends <= 0.02 * (pair_go + pair_ends)) OR (go + ends + begun = 0 AND pair_begun >= 5 AND pair_go + pair_ends <= 0.02 * pair_begun)
+    OR (regexp_matches(head, '^\p{{Lu}}') AND go + ends = 0 AND name_go >= 3 AND name_ends <= 0.1 * (name_go + name_ends))
+)"""
+
 ORACLE = {
+    "p10_found": f"WITH {_CUT} SELECT doc_id FROM documents WHERE md5(text) IN (SELECT k FROM cut)",
+    "p10_rates": f"""
+WITH {_CUT}, d AS (SELECT lower(trim(source)) AS source, CASE WHEN md5(text) IN (SELECT k FROM cut) THEN 1 ELSE 0 END AS c FROM documents)
+SELECT source, count(*) AS documents, CAST(sum(c) AS BIGINT) AS cut_documents, round(sum(c) / count(*)::DOUBLE, 9) AS rate FROM d GROUP BY source
+""",
     "p2_found": f"""
 WITH {_RESULTS}, n AS (SELECT id, count(*) AS n FROM taking GROUP BY id HAVING count(*) >= 4),
 r AS (
