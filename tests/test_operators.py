@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import crawl, graph, index, learning, logs, search
 from larkspur.operators.incremental import IncrementalTarget
 from larkspur.operators.ranking import ranked
+from larkspur.operators.skew import spread_join, spread_semi_join
 from larkspur.plans.api import Engine
 from larkspur.plans.query import parse
 from larkspur.schema import SCHEMAS, WEIGHTS
@@ -27,6 +28,15 @@ def test_ranked_is_a_row_number_of_any_group(spark):
     assert ranked(rows.where("false"), ["g"], [F.col("id").asc()]).count() == 0
 
 
+def test_spread_joins_are_joins(spark):
+    rows = spark.createDataFrame([(i, ["hot", "a", "b", None][min(i % 7, 3)] if i % 7 < 4 else "hot", "x") for i in range(700)], "i int, k string, _salt string")
+    table = spark.createDataFrame([("hot", 400, 1.5), ("a", 100, 2.5), ("none", 9, 3.5), (None, 5, 4.5)], "k string, n int, v double")
+    got = sorted((r.i, r.k, r._salt, r.v) for r in spread_join(rows, table, ["k"], "n", "i", piece=30).collect())
+    want = sorted((r.i, r.k, r._salt, r.v) for r in rows.join(table, "k").collect())
+    assert got == want and len(got) == 500
+    assert spread_semi_join(rows, table, ["k"], "n", "i", piece=30).count() == 500 and spread_semi_join(rows, table.where("false"), ["k"], "n", "i").count() == 0
+
+
 def _changes(spark, rows):
     return spark.createDataFrame(rows, "k string, v int, v_extra string")
 
