@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.ranking import ranked
+from larkspur.operators.skew import spread_join
 from larkspur.session import checkpointed, fresh
 
 OUT = "flow double, above array<int>, equal array<int>, members int"
@@ -101,9 +102,10 @@ def _large(items: DataFrame, scores: int, weights: list[float], q: float, p: flo
     up = F.col("n") - F.col("Cpu") + ((F.col("Mpu") - F.col("Mqu")) - (r + q) * (F.col("Cpu") - F.col("Cqu"))) / w
     net = placed.join(got, ["grp", "k", "v"]).select(
         "grp", "k", "v", "n", ((down - up) * F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.col("k") + 1)).alias("net"),
-        (F.col("n") - F.col("upto")).cast("int").alias("above"), (F.col("same") - 1).cast("int").alias("equal"),
+        (F.col("n") - F.col("upto")).cast("int").alias("above"), (F.col("same") - 1).cast("int").alias("equal"), "same",
     )
-    each = long.join(net, ["grp", "k", "v"]).groupBy("grp", "item").agg(
+    # a value that much of a large group has in common meets its row in several tasks
+    each = spread_join(long, net, ["grp", "k", "v"], "same", "item").groupBy("grp", "item").agg(
         F.sum("net").alias("net"), F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("k", "above", "equal"))).alias("per")
     )
     return each.select(
