@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.urls import host_key, normalize_url, origin
@@ -164,6 +164,37 @@ def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("url", "title", "language", F.size("headings").cast("long").alias("headings"), F.md5("content").alias("content"), F.size("links").cast("long").alias("links"))
 
 
+def _escaped(c: Column) -> Column:
+    out = F.coalesce(c, F.lit(""))
+    for sign, code in (("&", "&amp;"), ("<", "&lt;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(sign), F.lit(code))
+    return out
+
+
+def html_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as HTML with description, robots, canonical address and headings, and extracted again."""
+    rows = table(spark, sf_dir, "pages").select("url", "description", "status", "headings").where("url IS NOT NULL").dropDuplicates(["url"])
+    heads = F.transform(F.split(F.coalesce("headings", F.lit("")), "\n", -1), lambda h: F.concat(F.lit("<h2>"), _escaped(h), F.lit("</h2>")))
+    robots = F.when(F.col("status") == "noindex", "NoIndex").when(F.col("status") == "duplicate", "none").when(F.col("status") == "gone", "nofollow").otherwise("all")
+    html = F.concat(
+        F.lit("<html><head><title>t</title><meta name='description' content='"), _escaped(F.col("description")), F.lit("'><meta name='robots' content='"), robots, F.lit("'><link rel='canonical' href='"), _escaped(F.col("url")),
+        F.lit("'></head><body><main>"), F.array_join(heads, ""), F.lit("</main></body></html>"),
+    )
+    got = web.extract_pages(rows.select("url", html.alias("html")), "url", "html")
+    return got.select("url", "description", "canonical", "noindex", "nofollow", F.array_join("headings", " | ").alias("headings"))
+
+
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of every page written as HTML, extracted again: resolved, normalised and merged by target."""
+    links = table(spark, sf_dir, "links").where("source_url IS NOT NULL AND target_url IS NOT NULL AND id IS NOT NULL").dropDuplicates(["id"])
+    rel = F.when(F.md5("id") < "4", F.lit(" rel='nofollow'")).otherwise(F.lit(""))
+    anchor = F.concat(F.lit("<a href=' "), _escaped(F.col("target_url")), F.lit("'"), rel, F.lit(">"), _escaped(F.col("anchor_text")), F.lit("</a>"))
+    pages = links.groupBy(F.col("source_url").alias("url")).agg(F.array_sort(F.collect_list(F.struct("id", anchor.alias("a")))).alias("all"))  # a page's links
+    html = F.concat(F.lit("<base href='/'><body>"), F.array_join(F.transform("all", lambda x: x["a"]), " "))
+    got = web.extract_pages(pages.select("url", html.alias("html")), "url", "html")
+    return got.select(F.col("url").alias("page"), F.inline("links"))
+
+
 def robots_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What holds for every origin at a moment, and until when."""
     rows = web.robots_policy(table(spark, sf_dir, "hosts"), ROBOTS_AT)
@@ -223,7 +254,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         revisit_interval, due_pages, purge_gone, host_page_cap, host_page_count, latest_version, incremental_refresh, status_counts, pages_list, page_detail, exact_dups, near_dups, frontier_pick,
-        frontier_dedupe, frontier_stats, robots_rules, robots_allowed, politeness_delay, retry_queue, sitemap_urls, html_extract, robots_policy, robots_verdict, sitemap_discovery, sitemap_entries, page_dups, duplicate_members,
+        frontier_dedupe, frontier_stats, robots_rules, robots_allowed, politeness_delay, retry_queue, sitemap_urls, html_extract, html_meta, html_links, robots_policy, robots_verdict, sitemap_discovery, sitemap_entries, page_dups, duplicate_members,
     )
 }
 
@@ -330,6 +361,16 @@ h AS (SELECT origin, path, max(CASE WHEN regexp_matches(path, regex) THEN 2 * le
 SELECT origin, path, path = '/robots.txt' OR coalesce(best % 2 = 1, true) AS allowed FROM h
 """,
     "politeness_delay": f"WITH {_RULES} SELECT origin, {', '.join(f'round(least(least(greatest(1.0, coalesce(delay, 0.0)), 30.0) * {x}.0, 30.0), 6) AS {n}' for n, x in (('plain', 1), ('failed', 4), ('busy', 8)))} FROM (SELECT DISTINCT origin, delay FROM rules)",
+    "html_meta": f"""
+WITH p AS (SELECT url, any_value(description) AS description, any_value(status) AS status, any_value(headings) AS headings FROM pages WHERE url IS NOT NULL GROUP BY url)
+SELECT url, {duck.trim("coalesce(description, '')")} AS description, {duck.normalize_url('url')} AS canonical, status IN ('noindex', 'duplicate') AS noindex, status IN ('gone', 'duplicate') AS nofollow,
+  array_to_string(list_filter(list_transform(string_split(coalesce(headings, ''), chr(10)), lambda h: {_SQUEEZE('h')}), lambda h: h <> ''), ' | ') AS headings FROM p
+""",
+    "html_links": f"""
+WITH l AS (SELECT id, any_value(source_url) AS page, any_value(target_url) AS target, any_value(anchor_text) AS text FROM links WHERE source_url IS NOT NULL AND target_url IS NOT NULL AND id IS NOT NULL GROUP BY id),
+g AS (SELECT page, {duck.trim('target')} AS target, list({_SQUEEZE("coalesce(text, '')")} ORDER BY id) AS texts, arg_min(md5(id) < '4', id) AS nofollow FROM l GROUP BY 1, 2)
+SELECT page, {duck.normalize_url('target')} AS url, list_reduce(texts, lambda acc, t: CASE WHEN t = '' OR contains(acc, t) THEN acc ELSE acc || ' ' || t END) AS text, nofollow FROM g WHERE {duck.normalize_url('target')} IS NOT NULL
+""",
     "html_extract": f"""
 WITH p AS (SELECT url, any_value(title) AS title, any_value(content) AS content, any_value(language) AS language FROM pages WHERE url IS NOT NULL GROUP BY url)
 SELECT url, {_SQUEEZE("coalesce(title, '')")} AS title, coalesce(language, '') AS language, CAST({_SQUEEZE("coalesce(title, '')")} <> '' AS BIGINT) AS headings,
