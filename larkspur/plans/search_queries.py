@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime, timezone
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +98,31 @@ def _book():  # noqa: ANN202
     return Synonyms([["spider", "crawler"], ["db", "database"]])
 
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(raw, parse(raw)) for raw in b.column("raw").to_pylist()]
+        columns = [[raw, " ".join(q.terms), " ".join(q.excluded), "|".join(q.phrases), q.site, q.language, q.text, q.has_cjk, q.cache_key] for raw, q in rows]
+        kinds = [pa.string()] * 7 + [pa.bool_(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*columns, strict=True) if columns else [()] * 9, kinds, strict=True)], names=PARSED)
+
+
+PARSED = ["raw", "terms", "excluded", "phrases", "site", "language", "text", "has_cjk", "cache_key"]
+
+
+def parsed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every logged query, taken apart; those of even pages with filters added."""
+    filters = F.when(F.col("page") % 2 == 0, F.lit(" site:Lantern-Harbor.example LANG:De")).otherwise(F.lit(""))
+    rows = table(spark, sf_dir, "search_impressions").where("query IS NOT NULL").select(F.concat("query", filters).alias("raw")).distinct()
+    return rows.mapInArrow(_parsed, ", ".join(f"{n} {'boolean' if n == 'has_cjk' else 'string'}" for n in PARSED))
+
+
+def empty_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters and exclusions alone find nothing."""
+    ix = indexed(spark, sf_dir)
+    got = search.search(ix.sources, None, parse("-crawler site:lantern-harbor.example lang:en"), NOW, posts=ix.postings, stats=ix.stats)
+    return got.agg(F.count(F.lit(1)).alias("results")).join(search.total(ix.sources, None, parse("-crawler lang:en"), ix.postings, ix.stats), how="cross")  # one row each
+
+
 def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency of every term, and its occurrences in titles and bodies."""
     return indexed(spark, sf_dir).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.get("tf", F.lit(0))).alias("in_titles"), F.sum(F.get("tf", F.lit(5))).alias("in_bodies"))
@@ -178,7 +205,7 @@ def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        index_build, bm25f_search, search_phrase, search_exclude, search_site, search_lang, search_synonyms, term_postings, field_lengths, corpus_statistics, ranking_features, search_page, search_envelope, search_items, host_crowding,
+        index_build, bm25f_search, search_phrase, search_exclude, search_site, search_lang, search_synonyms, parsed_queries, empty_search, term_postings, field_lengths, corpus_statistics, ranking_features, search_page, search_envelope, search_items, host_crowding,
         snippet, anchor_text, host_rank_join, index_status,
     )
 }
@@ -282,6 +309,9 @@ _CLICK = "replace(url_encode(url), '%2A', '*')"
 for _code, _sign in search.OPEN:
     _CLICK = f"replace({_CLICK}, '{_code}', {duck.text(_sign)})"
 _ITEM = f"rank, '/click?i=i1&p=' || rank || '&u=' || {_CLICK} AS click_url, strftime(changed_at, '%Y-%m-%dT%H:%M:%SZ') AS changed_at, array_to_string(list_filter([{', '.join(f'CASE WHEN {h} THEN {duck.text(t)} END' for h, t in zip(_HAS, _CRAWLER.terms, strict=True))}], lambda w: w IS NOT NULL), ' ') AS terms, shard"
+_WHITE = r"'[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{3000}]+'"
+_QUOTED, _UNQUOTED = "regexp_extract(raw, '\"([^\"]*)\"', 1)", "regexp_replace(raw, '\"[^\"]*\"', '', 'g')"
+_PHRASE = lambda x: f"trim(regexp_replace(lower({duck.nfkc(x)}), {_WHITE}, ' ', 'g'))"
 
 ORACLE = {
     "bm25f_search": _search_sql(parse("crawler waiting queue snapshot")),
@@ -290,6 +320,19 @@ ORACLE = {
     "search_site": _search_sql(parse("snapshot site:lantern-harbor.example")),
     "search_lang": _search_sql(parse("巡回プログラム lang:ja")),
     "search_synonyms": _search_sql(parse("spider db archive", _book())),
+    # queries of the log have one phrase at most
+    "parsed_queries": f"""
+WITH q AS (SELECT DISTINCT query || CASE WHEN page % 2 = 0 THEN ' site:Lantern-Harbor.example LANG:De' ELSE '' END AS raw FROM search_impressions WHERE query IS NOT NULL),
+o AS (SELECT raw, {_PHRASE(_QUOTED)} AS phrase, list_filter(regexp_split_to_array({_UNQUOTED}, {_WHITE}), lambda w: w <> '') AS words FROM q),
+e AS (
+  SELECT *, flatten(list_transform(list_filter(words, lambda w: starts_with(w, '-') AND length(w) > 1), lambda w: CASE WHEN list_contains({duck.tokens('substring(w, 2)')}, lower(substring(w, 2))) THEN [lower(substring(w, 2))] ELSE {duck.tokens('substring(w, 2)')} END)) AS gone,
+    array_to_string(list_concat(list_filter(words, lambda w: NOT (starts_with(w, '-') AND length(w) > 1) AND NOT starts_with(lower(w), 'site:') AND NOT starts_with(lower(w), 'lang:')), CASE WHEN phrase = '' THEN CAST([] AS VARCHAR[]) ELSE [phrase] END), ' ') AS free FROM o
+), t AS (SELECT *, {_PHRASE('free')} AS text, list_filter({duck.tokens('free')}, lambda x: NOT list_contains(gone, x)) AS found, CASE WHEN contains(raw, ' site:') THEN 'lantern-harbor.example' END AS site, CASE WHEN contains(raw, ' LANG:') THEN 'de' END AS language FROM e)
+SELECT raw, array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ' ') AS terms, array_to_string(list_sort(list_distinct(gone)), ' ') AS excluded, phrase AS phrases, site, language, text,
+  regexp_matches(text, '[\\x{{3041}}-\\x{{9fff}}]') AS has_cjk,
+  text || ' p=' || phrase || ' x=' || array_to_string(list_sort(list_distinct(gone)), '|') || ' s=' || coalesce(site, '') || ' l=' || coalesce(language, '') AS cache_key FROM t
+""",
+    "empty_search": "SELECT 0::BIGINT AS results, 0::BIGINT AS total",
     "term_postings": f"""
 WITH {_SOURCES}, {_TOKENS}, flat AS (
   SELECT page_id, unnest(t0) AS term, 0 AS f FROM tok {' '.join(f'UNION ALL SELECT page_id, unnest(t{i}), {i} FROM tok' for i in range(1, 6))}
