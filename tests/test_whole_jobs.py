@@ -1,5 +1,7 @@
 """Queries do the whole job: nothing is sampled, cut at a length or left behind."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +46,28 @@ def test_ranks_are_those_that_stand(spark, tmp_path):
     assert back == pytest.approx({n: want[n] for n in back}, abs=1e-8) and set(nodes) - set(back) <= {nodes[2]}
 
 
+def _jobs(spark, run):
+    """What ``run`` gives, and how many jobs it took."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_page_ranks_are_written_back_in_few_jobs(spark, tmp_path):
+    # a ring with a tail takes over 60 iterations; a job for each was what took the time
+    nodes = [f"h{i}" for i in range(8)]
+    edges = [(nodes[i], nodes[(i + 1) % 7]) for i in range(7)] + [(nodes[0], nodes[7]), (nodes[3], nodes[0])]
+    want = _fixed_point(nodes, edges)
+    pages = [(n, "ok", want[n] + 1e-3 if i else None) for i, n in enumerate(nodes)] + [("old", "gone", 0.5), (None, "ok", 0.5)]
+    spark.createDataFrame(pages, "url string, status string, page_rank double").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([*edges, ("old", "h1"), ("h1", "old"), ("h2", "h2")], "source_url string, target_url string").write.parquet(f"{tmp_path}/links.parquet")
+    got, jobs = _jobs(spark, lambda: {r.id: r["rank"] for r in graph_queries.page_rank_writeback(spark, str(tmp_path)).collect()})
+    assert got == pytest.approx(want, abs=1e-8) and jobs < 60
+
+
 def test_near_dups_give_every_document_its_class(spark, tmp_path):
     text = "one two three four five six seven eight"
     docs = [("c", text, 3), ("a", text, 1), ("b", text, 2), ("x", "quite another text stands here alone", 1), ("e", "", 1), ("c", text, 3)]
