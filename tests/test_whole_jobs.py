@@ -5,7 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import crawl
+from larkspur.operators import crawl, graph
 from larkspur.plans import crawl_queries, graph_queries
 
 
@@ -68,6 +68,30 @@ def test_page_ranks_are_written_back_in_few_jobs(spark, tmp_path):
     assert got == pytest.approx(want, abs=1e-8) and jobs < 60
 
 
+def _power(nodes, edges, iterations, tolerance):
+    """Ranks and the number of iterations, step by step."""
+    out = {n: {b for a, b in edges if a == n and b in nodes and b != n} for n in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for i in range(iterations):
+        old, spread = rank, sum(rank[n] for n in nodes if not out[n])
+        rank = {n: (0.15 + 0.85 * spread) / len(nodes) + 0.85 * sum(old[m] / len(out[m]) for m in nodes if n in out[m]) for n in nodes}
+        if sum(abs(rank[n] - old[n]) for n in nodes) < tolerance:
+            break
+    return rank, i + 1
+
+
+@pytest.mark.parametrize(("iterations", "tolerance", "block"), [(0, 1e-9, 5), (13, 1e-9, 5), (13, 1e-9, 10**6), (100, 1e-7, 5), (100, 1e-7, 10**6)])
+def test_pagerank_in_blocks(spark, iterations, tolerance, block):
+    # slow to converge, with nodes that no edge leaves or reaches, in one block or in four that exchange sums
+    nodes = [f"n{i}" for i in range(24)]
+    edges = [(nodes[i], nodes[(i + 1) % 20]) for i in range(20)] + [("n0", "n20"), ("n3", "n20"), ("n4", "n0"), ("n20", "n1"), ("n21", "n5"), ("n7", "n22"), ("n5", "n6"), ("n6", "n6"), ("n6", "x"), ("x", "n6"), (None, "n6"), ("n6", None)]
+    want, steps = _power(nodes, edges, iterations, tolerance) if iterations else (dict.fromkeys(nodes, 1 / 24), 0)
+    frames = spark.createDataFrame([(n,) for n in [*nodes, "n3", None]], "id string"), spark.createDataFrame(edges, "src string, dst string")
+    got, jobs = _jobs(spark, lambda: {r.id: r["rank"] for r in graph.pagerank(*frames, iterations=iterations, tolerance=tolerance, block=block).collect()})
+    assert got == pytest.approx(want, abs=1e-14)
+    assert steps < 20 or jobs < steps
+
+
 def test_near_dups_give_every_document_its_class(spark, tmp_path):
     text = "one two three four five six seven eight"
     docs = [("c", text, 3), ("a", text, 1), ("b", text, 2), ("x", "quite another text stands here alone", 1), ("e", "", 1), ("c", text, 3)]
