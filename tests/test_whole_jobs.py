@@ -92,6 +92,20 @@ def test_pagerank_in_blocks(spark, iterations, tolerance, block):
     assert steps < 20 or jobs < steps
 
 
+def test_pagerank_takes_few_jobs_whatever_a_hub_links(spark, tmp_path):
+    # a long ring, of which one page links to every page and a third of them link to it, some links told many times; a job for each iteration was what took the time
+    nodes = [f"n{i:02}" for i in range(30)]
+    edges = [(nodes[i], nodes[(i + 1) % 30]) for i in range(30)] + [("n00", n) for n in nodes] + [(n, "n00") for n in nodes[20:]]
+    want, steps = _power(nodes, edges, 100, 1e-9)
+    spark.createDataFrame([(n, "ok") for n in nodes] + [("old", "gone"), (None, "ok"), ("n07", "ok")], "url string, status string").write.parquet(f"{tmp_path}/pages.parquet")
+    links = [*edges, *edges[:40] * 5, ("old", "n01"), ("n01", "old")]
+    spark.createDataFrame(links, "source_url string, target_url string").write.parquet(f"{tmp_path}/links.parquet")
+    got, jobs = _jobs(spark, lambda: {r.id: r["rank"] for r in graph_queries.pagerank(spark, str(tmp_path)).collect()})
+    assert got == pytest.approx(want, abs=1e-12) and jobs < steps
+    parts = graph.pagerank(*graph_queries._page_graph(spark, str(tmp_path)), block=20)
+    assert {r.id: r["rank"] for r in parts.collect()} == pytest.approx(want, abs=1e-14)
+
+
 def test_near_dups_give_every_document_its_class(spark, tmp_path):
     text = "one two three four five six seven eight"
     docs = [("c", text, 3), ("a", text, 1), ("b", text, 2), ("x", "quite another text stands here alone", 1), ("e", "", 1), ("c", text, 3)]
